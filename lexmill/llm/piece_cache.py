@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from array import array
 
 import numpy as np
+import regex
+
+from lexmill.llm.bpe import byte_alphabet
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MAX_PIECES = 400_000
+MAX_PIECES = 600_000
+JOINED = 200  # new pieces that the library gets as one text
+SETTLED = "\u052f"
+ALPHABET = dict(enumerate(byte_alphabet()))
+#: Fixed: the words of byte-level pre-tokenisation.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space before white space, a control or format character, or the end: there a text isn't cut.
 UNSAFE = re.compile(" (?:[\\s\\x00-\\x20\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]|\\Z)")
 
@@ -22,7 +32,9 @@ class PieceEncoder:
 
     Byte-level pre-tokenisation attaches a single space to what follows it, so a cut before a space that
     is followed by a visible character never divides a token. Texts with other spaces, or with the string
-    of an added token, go to the library whole.
+    of an added token, go to the library whole. A new piece is divided into words by the pattern of byte-level
+    pre-tokenisation, and the library's model encodes each new word; pieces with characters beyond SETTLED,
+    whose classes differ between Unicode versions, go through all of the library instead.
     """
 
     def __init__(self, path: str):
@@ -32,11 +44,51 @@ class PieceEncoder:
         self.size = self.library.get_vocab_size()
         names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(names) or r"(?!)")
+        plain = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.fence = plain[0] if plain else None
+        spec = json.loads(self.library.to_str())
+        front = spec["pre_tokenizer"]
+        self.by_word = spec["normalizer"] is None and front == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": front.get("trim_offsets"), "use_regex": True}
+        if self.by_word and hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # words come here once
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces have no added token in them, so one of these between them keeps them apart in a longer text."""
+        if not self.fence:
+            return self._library(pieces)
+        out, (fence, between) = [], self.fence
+        for ids in self._library([between.join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]):
+            ids = np.frombuffer(ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for end in (*np.flatnonzero(ids == fence).tolist(), len(ids)):
+                out.append(data[4 * at : 4 * end])
+                at = end + 1
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        if not self.by_word:
+            return self.known.update(zip(pieces, self._pieces(pieces)))
+        rare = [x for x in pieces if not x.isascii() and max(x) > SETTLED]
+        self.known.update(zip(rare, self._pieces(rare)))
+        if len(self.words) > MAX_PIECES:
+            self.words.clear()
+        words, model, find = self.words, self.library.model, PATTERN.findall
+        for x in pieces:
+            if x not in self.known:
+                out = []
+                for w in find(x):
+                    ids = words.get(w)
+                    if ids is None:
+                        ids = words[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
+                    out.append(ids)
+                self.known[x] = b"".join(out)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         out: list = [b""] * len(texts)
@@ -50,12 +102,14 @@ class PieceEncoder:
                 cut.append((i, t.replace(" ", "\0 ").split("\0")))
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
             out[i] = ids
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        new = list({x for _, p in cut for x in p} - self.known.keys())
-        known = self.known
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
+        known, here = self.known, {x for _, p in cut for x in p}
+        self.again |= here & known.keys()
+        new = list(here - known.keys())
+        if len(known) + len(new) > MAX_PIECES:  # pieces met in one batch only go
+            if len(self.again) > MAX_PIECES // 2:
+                self.again = here & known.keys()
+            self.known = known = {x: known[x] for x in self.again}
+        self._learn(new)
         for i, p in cut:
             out[i] = b"".join(map(known.__getitem__, p))
         return out
