@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of
+from lexmill.llm.memo import Memo
 
-MAX_CHUNKS = 400_000
+MAX_CHUNKS, MAX_WORDS = 600_000, 700_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
 
@@ -146,7 +148,7 @@ class WordBPE:
             self.tokens[i] = token.encode()
         self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.known: dict[str, bytes] = {}
+        self.memo, self.words = Memo(self._learn, MAX_CHUNKS), Memo(self._merge, MAX_WORDS)
 
     def _chunks(self, text: str) -> list[str]:
         # str.split() also divides at U+001C to U+001F, which aren't white space here
@@ -158,35 +160,28 @@ class WordBPE:
         chunk = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
         return self.pattern.findall(chunk)
 
-    def _learn(self, chunks: set[str]) -> None:
-        of = {c: self._words(c) for c in chunks}
-        words = list({w for ws in of.values() for w in ws})
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        return self.words.joined([self._words(c) for c in chunks])
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        # a symbol is a byte; the byte that ends the word has the suffix
         inner, final = self.inner, self.final
-        coded = []
-        for w in words:
-            b = w.encode()
-            coded.append([*map(inner.__getitem__, b[:-1]), final[b[-1]]])
-        # a symbol is a byte; a byte that ends the word has the suffix
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, merge_words(coded, self.ranks))}
-        self.known.update((c, b"".join(map(ids.__getitem__, ws))) for c, ws in of.items())
+        coded = [[*map(inner.__getitem__, b[:-1]), final[b[-1]]] for b in map(str.encode, words)]
+        return [array("I", x).tobytes() for x in merge_words(coded, self.ranks)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        parts: list[list[tuple[bytes | None, list[str]]]] = []
-        new: set[str] = set()
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        known = self.known
-        for t in texts:
-            row = []
-            for piece in self.cut.split(t) if t and self.cut and "<|" in t else [t or ""]:
-                chunks = [] if piece in self.added else self._chunks(piece)
-                row.append((self.added.get(piece), chunks))
-                new.update(chunks)
-            parts.append(row)
-        if fresh := new - known.keys():
-            self._learn(fresh)
-        return [b"".join(special if special is not None else b"".join(map(known.__getitem__, chunks)) for special, chunks in row) for row in parts]
+        rows, special = [], []
+        for i, t in enumerate(texts):
+            if t and self.cut and "<|" in t and len(parts := self.cut.split(t)) > 1:
+                special.append((i, parts))
+                rows += [[] if x in self.added else self._chunks(x) for x in parts]
+            else:
+                rows.append(self._chunks(t or ""))
+        out = self.memo.joined(rows)
+        for i, parts in special:  # each such text becomes one row, so later ones move up
+            out[i : i + len(parts)] = [b"".join(self.added.get(x, y) for x, y in zip(parts, out[i : i + len(parts)]))]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens joined by spaces (the file has no decoder), in UTF-8; added tokens are kept."""

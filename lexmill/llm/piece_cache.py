@@ -12,6 +12,7 @@ import numpy as np
 import regex
 
 from lexmill.llm.bpe import byte_alphabet
+from lexmill.llm.memo import Memo
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -51,9 +52,7 @@ class PieceEncoder:
         self.by_word = spec["normalizer"] is None and front == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": front.get("trim_offsets"), "use_regex": True}
         if self.by_word and hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # words come here once
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
-        self.words: dict[str, bytes] = {}
+        self.memo, self.words = Memo(self._learn, MAX_PIECES), Memo(self._encode_words, MAX_PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -71,23 +70,18 @@ class PieceEncoder:
                 at = end + 1
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self.known.update(zip(pieces, self._pieces(pieces)))
-        rare = [x for x in pieces if not x.isascii() and max(x) > SETTLED]
-        self.known.update(zip(rare, self._pieces(rare)))
-        if len(self.words) > MAX_PIECES:
-            self.words.clear()
-        words, model, find = self.words, self.library.model, PATTERN.findall
-        for x in pieces:
-            if x not in self.known:
-                out = []
-                for w in find(x):
-                    ids = words.get(w)
-                    if ids is None:
-                        ids = words[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
-                    out.append(ids)
-                self.known[x] = b"".join(out)
+            return self._pieces(pieces)
+        out = self.words.joined([PATTERN.findall(x) if x.isascii() or max(x) <= SETTLED else [] for x in pieces])
+        rare = [i for i, x in enumerate(pieces) if not x.isascii() and max(x) > SETTLED]
+        for i, ids in zip(rare, self._pieces([pieces[i] for i in rare]) if rare else []):
+            out[i] = ids
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        model = self.library.model
+        return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]).tobytes() for w in words]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
@@ -102,16 +96,8 @@ class PieceEncoder:
                 cut.append((i, t.replace(" ", "\0 ").split("\0")))
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
             out[i] = ids
-        known, here = self.known, {x for _, p in cut for x in p}
-        self.again |= here & known.keys()
-        new = list(here - known.keys())
-        if len(known) + len(new) > MAX_PIECES:  # pieces met in one batch only go
-            if len(self.again) > MAX_PIECES // 2:
-                self.again = here & known.keys()
-            self.known = known = {x: known[x] for x in self.again}
-        self._learn(new)
-        for i, p in cut:
-            out[i] = b"".join(map(known.__getitem__, p))
+        for (i, _), ids in zip(cut, self.memo.joined([p for _, p in cut])):
+            out[i] = ids
         return out
 
 
