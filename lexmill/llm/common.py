@@ -122,7 +122,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def batches_of(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in parts of about ``most`` bytes at most, so that working arrays stay small."""
     parts = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
     step = -(-batch.num_rows // parts) if batch.num_rows else 1

@@ -95,8 +95,12 @@ class GrayIndex:
         tree = np.searchsorted(self.root, buckets[self.order])
         self.tree = tree
 
-    def within(self, distance: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (places in the input, first before second in Gray order) of one bucket within ``distance`` bits."""
+    def within(self, distance: int, at_once: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (places in the input, first before second in Gray order) of one bucket within ``distance`` bits.
+
+        So many codes search together that about ``at_once`` nodes are open even if nothing can be left out.
+        """
+        block = max(16, min(4096, at_once // max(1, int(np.bincount(self.tree).max(initial=0)))))
         for at in range(0, len(self.codes), block):
             query = np.arange(at, min(at + block, len(self.codes)))
             node = self.tree[query]
