@@ -19,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of
-from lexmill.llm.memo import Memo
+from lexmill.llm.memo import Memo, divided, gathered
 
 MAX_CHUNKS, MAX_WORDS = 600_000, 700_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
+ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")  # white space to some, not to others
 
 
 def byte_alphabet() -> list[str]:
@@ -151,8 +153,7 @@ class WordBPE:
         self.memo, self.words = Memo(self._learn, MAX_CHUNKS), Memo(self._merge, MAX_WORDS)
 
     def _chunks(self, text: str) -> list[str]:
-        # str.split() also divides at U+001C to U+001F, which aren't white space here
-        return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [x for x in SPACES.split(text) if x]
+        return [x for x in SPACES.split(text) if x]
 
     def _words(self, chunk: str) -> list[str]:
         if not chunk.isascii():
@@ -171,16 +172,21 @@ class WordBPE:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        rows, special = [], []
+        out: list = [b""] * len(texts)
+        plain = []
         for i, t in enumerate(texts):
             if t and self.cut and "<|" in t and len(parts := self.cut.split(t)) > 1:
-                special.append((i, parts))
-                rows += [[] if x in self.added else self._chunks(x) for x in parts]
-            else:
-                rows.append(self._chunks(t or ""))
-        out = self.memo.joined(rows)
-        for i, parts in special:  # each such text becomes one row, so later ones move up
-            out[i : i + len(parts)] = [b"".join(self.added.get(x, y) for x, y in zip(parts, out[i : i + len(parts)]))]
+                out[i] = b"".join(self.added.get(x) or b"".join(self.memo.values(self._chunks(x))) for x in parts)
+            elif t and ODD.search(t):
+                out[i] = b"".join(self.memo.values(self._chunks(t)))
+            elif t:
+                plain.append(i)
+        if plain:
+            pieces, codes, bounds = divided(pc.utf8_split_whitespace(pa.array([texts[i] for i in plain], pa.string())))
+            values = [b"" if x == "" else None for x in pieces]
+            known = iter(self.memo.values([x for x in pieces if x]))
+            for i, ids in zip(plain, gathered([next(known) if v is None else v for v in values], codes, bounds)):
+                out[i] = ids
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

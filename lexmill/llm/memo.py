@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
 AT_ONCE = 50_000
 
 
@@ -15,26 +18,46 @@ class Memo:
         self.learn, self.most = learn, most
         self.known: dict[str, bytes] = {}
 
-    def joined(self, rows: list[list[str]]) -> list[bytes]:
-        """For each row the values of its pieces, one after the other; what isn't known is learnt first."""
+    def values(self, pieces: list[str]) -> list[bytes]:
+        """The value of each piece; what isn't known is learnt first."""
         collects = gc.isenabled()
-        gc.disable()  # millions of small lists without cycles
+        gc.disable()  # many small lists without cycles
         try:
-            return self._joined(rows)
+            got = list(map(self.known.get, pieces))
+            new = list({x for x, y in zip(pieces, got) if y is None})
+            if not new:
+                return got
+            if len(self.known) + len(new) > self.most:
+                self.known = {x: y for x, y in zip(pieces, got) if y is not None}
+            known = self.known
+            for at in range(0, len(new), AT_ONCE):
+                part = new[at : at + AT_ONCE]
+                known.update(zip(part, self.learn(part)))
+            return [known[x] if y is None else y for x, y in zip(pieces, got)]
         finally:
             if collects:
                 gc.enable()
 
-    def _joined(self, rows: list[list[str]]) -> list[bytes]:
-        get = self.known.get
-        got = [list(map(get, row)) for row in rows]
-        new = list({x for row, values in zip(rows, got) for x, y in zip(row, values) if y is None})
-        if not new:
-            return list(map(b"".join, got))
-        if len(self.known) + len(new) > self.most:
-            self.known = {x: y for row, values in zip(rows, got) for x, y in zip(row, values) if y is not None}
-        known = self.known
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            known.update(zip(part, self.learn(part)))
-        return [b"".join([known[x] if y is None else y for x, y in zip(row, values)]) for row, values in zip(rows, got)]
+    def joined(self, rows: list[list[str]]) -> list[bytes]:
+        """For each row the values of its pieces, one after the other."""
+        values = iter(self.values([x for row in rows for x in row]))
+        return [b"".join([next(values) for _ in row]) for row in rows]
+
+
+def gathered(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each stretch of ``codes`` between ``bounds`` the 4-byte ids in ``values[code]``, one after the other."""
+    flat = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    data = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    at = (ends[bounds] * 4).tolist()
+    return [data[i:j] for i, j in zip(at, at[1:])]
+
+
+def divided(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of lists of strings, the code of each piece in order and the lists' bounds."""
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds - bounds[0]

@@ -9,10 +9,12 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from lexmill.llm.bpe import byte_alphabet
-from lexmill.llm.memo import Memo
+from lexmill.llm.memo import Memo, divided, gathered
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -22,10 +24,10 @@ MAX_PIECES = 600_000
 JOINED = 200  # new pieces that the library gets as one text
 SETTLED = "\u052f"
 ALPHABET = dict(enumerate(byte_alphabet()))
-#: Fixed: the words of byte-level pre-tokenisation.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A space before white space, a control or format character, or the end: there a text isn't cut.
-UNSAFE = re.compile(" (?:[\\s\\x00-\\x20\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]|\\Z)")
+#: Fixed: the words of byte-level pre-tokenisation, here of pieces with a NUL between them.
+PATTERN = regex.compile(r"\0|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\s+(?![^\s\0])|\s+")
+#: A space before white space, a control or format character, or the end: there a text isn't cut; or a NUL.
+UNSAFE = re.compile("\\0| (?:[\\s\\x00-\\x20\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]|\\Z)")
 
 
 class PieceEncoder:
@@ -73,31 +75,40 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._pieces(pieces)
-        out = self.words.joined([PATTERN.findall(x) if x.isascii() or max(x) <= SETTLED else [] for x in pieces])
         rare = [i for i, x in enumerate(pieces) if not x.isascii() and max(x) > SETTLED]
+        odd = set(rare)
+        found = PATTERN.findall("\0".join(["" if i in odd else x for i, x in enumerate(pieces)] if rare else pieces))
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.flatnonzero(codes == words.index("\0")) if "\0" in words else np.zeros(0, np.int64)
+        values = iter(self.words.values([w for w in words if w != "\0"]))
+        out = gathered([b"" if w == "\0" else next(values) for w in words], codes, np.concatenate([[0], ends, [len(codes)]]))
         for i, ids in zip(rare, self._pieces([pieces[i] for i in rare]) if rare else []):
             out[i] = ids
         return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        model = self.library.model
-        return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]).tobytes() for w in words]
+        encode = self.library.model.tokenize
+        mapped = "\0".join(words).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
+        return [array("I", [t.id for t in encode(w)]).tobytes() for w in mapped]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         out: list = [b""] * len(texts)
         whole, cut = [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "\0" in t or UNSAFE.search(t) or self.added.search(t):
-                whole.append(i)
-            else:
-                cut.append((i, t.replace(" ", "\0 ").split("\0")))
+            if t:
+                (whole if UNSAFE.search(t) or self.added.search(t) else cut).append(i)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
             out[i] = ids
-        for (i, _), ids in zip(cut, self.memo.joined([p for _, p in cut])):
-            out[i] = ids
+        if cut:
+            parts, codes, bounds = divided(pc.split_pattern(pa.array([texts[i] for i in cut], pa.string()), " "))
+            # a text's first piece has no blank before it
+            firsts = bounds[:-1]
+            first = [parts[c] for c in codes[firsts].tolist()]
+            codes[firsts] = len(parts) + np.arange(len(cut))
+            for i, ids in zip(cut, gathered(self.memo.values([" " + x for x in parts] + first), codes, bounds)):
+                out[i] = ids
         return out
 
 
