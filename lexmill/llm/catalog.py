@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bloom_lm, bpe, decontaminate, exact_dedup, language_id, simhash, sstable, warc
+from lexmill.llm import bloom_lm, bpe, decontaminate, exact_dedup, language_id, line_dedup, secrets, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("target")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sstable, op3_bpe, op4_bloom_lm, op5_simhash, op6_language_id, op8_warc, op9_decontaminate)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("_row", F.monotonically_increasing_id())
+    return line_dedup.report(docs, "_row")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sstable, op3_bpe, op4_bloom_lm, op5_simhash, op6_language_id, op7_line_dedup, op8_warc, op9_decontaminate, op10_secrets)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
