@@ -184,14 +184,21 @@ def write_archives(pages: DataFrame, row: str, folder: str, page_id: str = "page
             files.move(tmp, f"{top}/part-{part:05d}.warc.gz")
             made.append((f"{folder}/part-{part:05d}.warc.gz", n))
 
+        mark = None  # of the next row; a row's mark comes before its page
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for file, r, page, target, size, to_page, to_row, sha, payload in zip(*cols, texts_raw(batch.column(7)), texts_of(batch.column(8))):
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for file, r, is_page, page, target, size, to_page, to_row, sha, payload in zip(*cols, texts_of(batch.column(9))):
+                if not is_page:
+                    mark = r, size, to_page, to_row, sha
+                    continue
                 if file != part:
                     if sink:
                         finish()
                     part, n, tmp = file, 0, f"{top}/.{file}-{uuid.uuid4().hex}"
                     sink, gz = files.open_output_stream(tmp, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                if mark is None or mark[0] != r:
+                    raise ValueError(f"row {r} has no mark")
+                _, size, to_page, to_row, sha = mark
                 original = None if to_row is None else (to_row, to_page)
                 sink.write(gz.compress(record(r, page, target, payload, size, base64.b32encode(sha).decode(), original)))
                 n += 1
@@ -199,12 +206,13 @@ def write_archives(pages: DataFrame, row: str, folder: str, page_id: str = "page
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "records"])
 
-    def texts_raw(column: pa.Array) -> list[bytes]:
-        return column.to_pylist()
-
-    both = slim.join(marks, "row").withColumn("file", F.pmod(F.xxhash64("row"), F.lit(files_)).cast("int"))
-    rows = both.select("file", "row", "page_id", "url", "bytes", "to_page", "to_row", "digest", F.when(F.col("to_row").isNull(), F.col("html")).alias("html"))
-    return rows.repartitionById(files_, "file").sortWithinPartitions("file", "row").mapInArrow(write, "path string, records long")
+    # pages and marks meet in the writer, by one shuffle
+    file = F.pmod(F.xxhash64("row"), F.lit(files_)).cast("int").alias("file")
+    none = lambda kind: F.lit(None).cast(kind)
+    these = slim.select(file, "row", F.lit(True).alias("is_page"), "page_id", "url", none("long").alias("bytes"), none("long").alias("to_page"), none("long").alias("to_row"), none("binary").alias("digest"), "html")
+    those = marks.select(file, "row", F.lit(False).alias("is_page"), none("long").alias("page_id"), none("string").alias("url"), "bytes", "to_page", "to_row", "digest", none("string").alias("html"))
+    rows = these.unionByName(those)
+    return rows.repartitionById(files_, "file").sortWithinPartitions("file", "row", "is_page").mapInArrow(write, "path string, records long")
 
 
 def normalised(spark: SparkSession, archives: DataFrame) -> DataFrame:
