@@ -12,11 +12,12 @@ AT_ONCE = 50_000
 
 
 class Memo:
-    """Values by piece. When ``most`` are held, those stay that the batch at hand uses too."""
+    """Values by piece, in two generations of half of ``most`` each: what is used moves to the younger, and when that is full the older goes."""
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
         self.learn, self.most = learn, most
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def values(self, pieces: list[str]) -> list[bytes]:
         """The value of each piece; what isn't known is learnt first."""
@@ -24,12 +25,14 @@ class Memo:
         gc.disable()  # many small lists without cycles
         try:
             got = list(map(self.known.get, pieces))
-            new = list({x for x, y in zip(pieces, got) if y is None})
-            if not new:
+            missing = {x for x, y in zip(pieces, got) if y is None}
+            if not missing:
                 return got
-            if len(self.known) + len(new) > self.most:
-                self.known = {x: y for x, y in zip(pieces, got) if y is not None}
-            known = self.known
+            if len(self.known) + len(missing) > self.most // 2:
+                self.old, self.known = self.known, {x: y for x, y in zip(pieces, got) if y is not None}
+            known, before = self.known, self.old.get
+            known.update((x, y) for x in missing if (y := before(x)) is not None)
+            new = [x for x in missing if x not in known]
             for at in range(0, len(new), AT_ONCE):
                 part = new[at : at + AT_ONCE]
                 known.update(zip(part, self.learn(part)))

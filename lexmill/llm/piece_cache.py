@@ -20,14 +20,17 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MAX_PIECES = 600_000
+MAX_PIECES, MAX_WORDS = 1_100_000, 700_000
 JOINED = 200  # new pieces that the library gets as one text
 SETTLED = "\u052f"
 ALPHABET = dict(enumerate(byte_alphabet()))
 #: Fixed: the words of byte-level pre-tokenisation, here of pieces with a NUL between them.
 PATTERN = regex.compile(r"\0|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\s+(?![^\s\0])|\s+")
 #: A space before white space, a control or format character, or the end: there a text isn't cut; or a NUL.
-UNSAFE = re.compile("\\0| (?:[\\s\\x00-\\x20\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]|\\Z)")
+UNSAFE = r"\x00| (?:[\s\x00-\x20\x7f-\x{a0}\x{ad}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]|$)"
+
+#: Further cuts, by a NUL: between a letter and a mark, and around a line end between visible characters. Words never cross them.
+CUTS = ((r"([A-Za-z])([.,!?;:])", "\\1\0\\2"), (r"([!-~])\n([!-~])", "\\1\0\n\0\\2"))
 
 
 class PieceEncoder:
@@ -46,7 +49,7 @@ class PieceEncoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(names) or r"(?!)")
+        self.unsafe = "|".join([UNSAFE, *names])  # in RE2's syntax
         plain = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.fence = plain[0] if plain else None
         spec = json.loads(self.library.to_str())
@@ -54,7 +57,7 @@ class PieceEncoder:
         self.by_word = spec["normalizer"] is None and front == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": front.get("trim_offsets"), "use_regex": True}
         if self.by_word and hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # words come here once
-        self.memo, self.words = Memo(self._learn, MAX_PIECES), Memo(self._encode_words, MAX_PIECES)
+        self.memo, self.words = Memo(self._learn, MAX_PIECES), Memo(self._encode_words, MAX_WORDS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -92,22 +95,22 @@ class PieceEncoder:
         mapped = "\0".join(words).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
         return [array("I", [t.id for t in encode(w)]).tobytes() for w in mapped]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        unsafe = pc.match_substring_regex(texts, self.unsafe)
         out: list = [b""] * len(texts)
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            if t:
-                (whole if UNSAFE.search(t) or self.added.search(t) else cut).append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
+        odd = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(odd, self._library(texts.take(pa.array(odd)).to_pylist()) if odd else []):
             out[i] = ids
-        if cut:
-            parts, codes, bounds = divided(pc.split_pattern(pa.array([texts[i] for i in cut], pa.string()), " "))
-            # a text's first piece has no blank before it
-            firsts = bounds[:-1]
-            first = [parts[c] for c in codes[firsts].tolist()]
-            codes[firsts] = len(parts) + np.arange(len(cut))
-            for i, ids in zip(cut, gathered(self.memo.values([" " + x for x in parts] + first), codes, bounds)):
+        plain = np.flatnonzero(~unsafe.to_numpy(zero_copy_only=False)).tolist()
+        if plain:
+            marked = texts.filter(pc.invert(unsafe)) if odd else texts
+            if self.by_word:
+                for pattern, cut in CUTS:
+                    marked = pc.replace_substring_regex(marked, pattern, cut)
+            parts, codes, bounds = divided(pc.split_pattern(pc.replace_substring(marked, " ", "\0 "), "\0"))
+            for i, ids in zip(plain, gathered(self.memo.values(parts), codes, bounds)):
                 out[i] = ids
         return out
 

@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 0, doc_id
         cuts = np.array(bounds, np.int64)
         for whole in batches:
             for batch in batches_of(whole):
-                ids = [np.frombuffer(x + end, "<u4").astype("<u2" if width == 2 else "<u4").tobytes() for x in enc.encode(batch.column(1).to_pylist())]
+                ids = [np.frombuffer(x + end, "<u4").astype("<u2" if width == 2 else "<u4").tobytes() for x in enc.encode(batch.column(1))]
                 at = np.searchsorted(cuts, batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
