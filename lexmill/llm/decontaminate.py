@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
             index = shared.value
             moves, sampled = plan()
             for whole in batches:
-                for batch in batches_of(whole, 8 << 20):
+                for batch in batches_of(whole, 3 << 20):
                     rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                     hits = [(rows[d], ids[d], index.items[k][0], len(index.items[k][2]), edits, end) for d, k, edits, end in search(texts_of(batch.column(2)), index, most_edits, moves, sampled)]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*hits)] if hits else [pa.array([], pa.int64())] * 6, ["row", "doc_id", "item_id", "item_chars", "edits", "end"])

@@ -126,7 +126,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole):
+            for batch in batches_of(whole, 2 << 20):
                 owner = batch.column(0).to_numpy(zero_copy_only=False)
                 keys, bounds = ngrams(batch.column(1).to_pylist())
                 of = np.repeat(owner, np.diff(bounds))
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole):
+            for batch in batches_of(whole, 2 << 20):
                 share, n = shared.value.shares(batch.column(at).cast(pa.string()).to_pylist())
                 best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(n), np.int64)
                 known = (n > 0) & bool(share.shape[1])
