@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import batches_of
 from lexmill.llm.memo import Memo, divided, gathered
 
-MAX_CHUNKS, MAX_WORDS = 400_000, 400_000
+MAX_CHUNKS, MAX_WORDS = 250_000, 800_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
 ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")  # white space to some, not to others
@@ -182,7 +182,9 @@ class WordBPE:
             elif t:
                 plain.append(i)
         if plain:
-            pieces, codes, bounds = divided(pc.utf8_split_whitespace(pa.array([texts[i] for i in plain], pa.string())))
+            # a word never crosses from a letter to a mark, and white space is dropped
+            cut = pc.replace_substring_regex(pa.array([texts[i] for i in plain], pa.string()), r"([A-Za-z])([.,!?;:])", r"\1 \2")
+            pieces, codes, bounds = divided(pc.utf8_split_whitespace(cut))
             values = [b"" if x == "" else None for x in pieces]
             known = iter(self.memo.values([x for x in pieces if x]))
             for i, ids in zip(plain, gathered([next(known) if v is None else v for v in values], codes, bounds)):

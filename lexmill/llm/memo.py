@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-AT_ONCE = 50_000
+AT_ONCE = 25_000
 
 
 class Memo:
