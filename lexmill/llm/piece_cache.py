@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MAX_PIECES, MAX_WORDS = 1_100_000, 700_000
+MAX_PIECES, MAX_WORDS = 1_300_000, 700_000
 JOINED = 200  # new pieces that the library gets as one text
 SETTLED = "\u052f"
 ALPHABET = dict(enumerate(byte_alphabet()))
