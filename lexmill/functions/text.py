@@ -20,6 +20,14 @@ SECRET_NAMES = "token|hf_token|auth_token|api_key|secret|password|access_token"
 SECRET_VALUES = r"\b(?:hf_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{20,})"
 REDACTED = "[REDACTED]"
 
+#: Spellings that mark the other dialect; a sentence that drafts hallucinate; marks of a scored sheet;
+#: parts of messages about access, and where such a message names a repository.
+DIALECT_MARKERS = r"dz|\bebien|\benyim|\bekyir|\bebiasa|\bebaasa"
+HALLUCINATIONS = ["na sane firi wɔn so kɔ soro"]
+SKIP_MARK, UNSURE_MARK = "[skip]", "[?]"
+ACCESS_ERRORS = "401|403|gated|authenticat|not accessible|unauthorized"
+GATED = [r"Access to model ([\w\-.]+/[\w\-.]+) is restricted", r"huggingface\.co/([\w\-.]+/[\w\-.]+)/resolve/"]
+
 
 def symbols(digits: bool = True) -> list[str]:
     """The symbols without the blank, whose index is their number [D6, G2]."""
@@ -178,6 +186,34 @@ def redacted(params: Column) -> Column:
     return F.transform_values(params, lambda k, v: F.when(hidden(k, v), F.lit(REDACTED)).otherwise(F.regexp_replace(v, SECRET_VALUES, REDACTED)))
 
 
+def dialect_marker(text: Column) -> Column:
+    """[F18]"""
+    return F.lower(text).rlike(DIALECT_MARKERS)
+
+
+def usable_draft(text: Column, least: int = 3) -> Column:
+    """Enough words and no known hallucination [F6]."""
+    none = F.lit(True)
+    for h in HALLUCINATIONS:
+        none = none & ~F.contains(F.lower(text), F.lit(h))
+    return (F.size(words(text)) >= least) & none
+
+
+def scoreable(text: Column) -> Column:
+    """Not skipped and not empty after folding; unsure marks are blanks [F13]."""
+    return ~F.contains(text, F.lit(SKIP_MARK)) & (folded(F.replace(text, F.lit(UNSURE_MARK), F.lit(" "))) != "")
+
+
+def access_error(message: Column) -> Column:
+    """[G14]"""
+    return F.lower(message).rlike(ACCESS_ERRORS)
+
+
+def gated_repositories(message: Column) -> Column:
+    """Repositories that a message about access names, each once [X28]."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(message, F.lit(p), F.lit(1)) for p in GATED)))
+
+
 def speaker_key(value: Column) -> Column:
     """328.0 as 328 [F20]."""
     return F.regexp_replace(F.trim(value.cast("string")), r"\.0$", "")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 
+#: The median length in frames from which memory is at risk, and the share of characters to keep.
+LONG_CLIP_FRAMES, LEAST_COVERAGE = 1200, 0.97
+
 
 class EmptyCorpus(ValueError):
     """A gate left no row [G5, F25]."""
@@ -18,7 +21,7 @@ def index_percentile(df: DataFrame, value: str, fractions: dict[str, float], by:
     """``sorted[min(n - 1, int(n * f))]`` of each group, without interpolation; 0 of none [A2].
 
     A value's copies are counted first and the counts are ranked, so a group's size is its distinct values.
-    Exact like the reference's rule (T1), unlike ``percentile``.
+    The upper of two middles is the median (T1), unlike ``percentile``.
     """
     from pyspark.sql import Window as W
 
@@ -70,17 +73,21 @@ def feasibility_report(df: DataFrame, by: list[str] | None = None, **columns) ->
     return joined.na.fill(0.0, ["median_headroom", "p05_headroom"])
 
 
-def probe(df: DataFrame, text: str = "text", seconds: str = "seconds") -> DataFrame:
-    """One row: rows, empty texts, characters kept and all, digits, shortest and longest, hours [A5, A7].
+def probe(df: DataFrame, text: str = "text", seconds: str = "seconds", digits: bool = True, audio_missing: str | None = None) -> DataFrame:
+    """One row: rows, texts that encode to nothing, characters kept and all, dropped digits and letters, shortest and longest, hours [A5, A7].
 
-    Coverage lowers but doesn't fold, so typographic marks count as dropped (T7).
+    Coverage lowers but doesn't fold, so typographic marks count as dropped (T7). ``audio_missing`` names a
+    boolean column, if files were looked for.
     """
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    kept = F.length(F.regexp_replace(t, "[^a-z0-9ɛɔ' ]", ""))
+    alphabet = f"[^a-z{'0-9' if digits else ''}ɛɔ' ]"
+    kept, gone = F.length(F.regexp_replace(t, alphabet, "")), F.regexp_replace(t, alphabet.replace("[^", "["), "")
+    only = lambda keep: F.sum(F.length(F.regexp_replace(gone, f"[^{keep}]", "")))
+    missing = F.count(F.when(F.col(audio_missing), 1)) if audio_missing else F.lit(None).cast("long")
     return df.agg(
-        F.count("*").alias("rows"), F.count(F.when(F.trim(t) == "", 1)).alias("empty"), F.sum(kept).alias("kept"), F.sum(F.length(t)).alias("chars"),
-        F.sum(F.length(F.regexp_replace(t, "[^0-9]", ""))).alias("digits"), F.min(F.length(t)).alias("shortest"), F.max(F.length(t)).alias("longest"),
-        (F.avg(seconds) * F.count("*") / 3600).alias("hours"),
+        F.count("*").alias("rows"), missing.alias("audio_missing"), F.count(F.when(X.folded(F.coalesce(F.col(text), F.lit("")), digits) == "", 1)).alias("empty"), F.sum(kept).alias("kept"), F.sum(F.length(t)).alias("chars"),
+        only("0-9").alias("digits_dropped"), only(r"\p{L}\p{N}").alias("letters_dropped"), F.min(F.length(t)).alias("shortest"), F.max(F.length(t)).alias("longest"),
+        F.median(seconds).alias("median_seconds"), (F.avg(seconds) * F.count("*") / 3600).alias("hours"),
     )
 
 
@@ -90,13 +97,28 @@ def dropped_characters(df: DataFrame, text: str = "text", top: int = 10) -> Data
     return df.select(F.explode(X.characters(gone)).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ch").limit(top)
 
 
-def gates(report: DataFrame, missing_share: float = 0.0, least_coverage: float = 0.98) -> DataFrame:
-    """``gate, severity`` of each rule that a probe breaks [F23]."""
-    rules = [("no rows", "fail", F.col("rows") == 0), ("empty texts", "warn", F.col("empty") > F.col("rows") * missing_share), ("low coverage", "warn", F.col("kept") < least_coverage * F.col("chars")), ("digits in text", "warn", F.col("digits") > 0)]
+def gates(report: DataFrame, frames_per_second: float = 100.0, long_frames: int = LONG_CLIP_FRAMES, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """``gate, severity`` of each rule that a probe breaks: "fail" ends a run, "warn" and "info" don't [F23, F25]."""
+    rows, missing, empty = F.col("rows"), F.col("audio_missing"), F.col("empty")
+    low = F.col("kept") < least_coverage * F.col("chars")
+    rules = [
+        ("no rows", "fail", rows == 0), ("all audio missing", "fail", (rows > 0) & (missing == rows)), ("audio missing", "warn", (missing > 0) & (missing < rows)),
+        ("all labels empty", "fail", (rows > 0) & (empty == rows)), ("empty labels", "warn", (empty > 0) & (empty < rows)), ("long clips", "warn", F.col("median_seconds") * frames_per_second > long_frames),
+        ("digits dropped", "warn", F.col("digits_dropped") > 0), ("letters dropped", "warn", F.col("letters_dropped") > 0), ("low coverage", "info", (F.col("letters_dropped") == 0) & low),
+    ]
     found = F.filter(F.array(*(F.when(c, F.struct(F.lit(g).alias("gate"), F.lit(s).alias("severity"))) for g, s, c in rules)), lambda x: x.isNotNull())
     return report.select(F.explode(found).alias("x")).select("x.gate", "x.severity")
 
 
+def enforce(report: DataFrame, role: str) -> list[str]:
+    """The warnings of a probe; a failed gate is an error [F23]."""
+    rows = [tuple(r) for r in gates(report).collect()]  # a row a rule
+    failed = [g for g, s in rows if s == "fail"]
+    if failed:
+        raise EmptyCorpus(f"{role}: {', '.join(failed)}")
+    return [g for g, s in rows if s == "warn"]
+
+
 def first_reason(rules: list[tuple[str, Column]], otherwise: str = "kept") -> Column:
     """The first rule that holds names the reason [F8, F10, F11, F12, T29]."""
     return reduce(lambda rest, r: F.when(r[1], F.lit(r[0])).otherwise(rest), reversed(rules), F.lit(otherwise))

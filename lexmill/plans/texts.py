@@ -29,15 +29,14 @@ def text_keys(spark, d):
 
 
 @query(f"""
-    SELECT role, count(*) AS n, count(*) FILTER (len({sql_words('text')}) BETWEEN 3 AND 40) AS in_range, count(*) FILTER (len({sql_words('text')}) >= 3 AND NOT contains(lower(text), 'thank you')) AS usable_draft,
+    SELECT role, count(*) AS n, count(*) FILTER (len({sql_words('text')}) BETWEEN 3 AND 40) AS in_range, count(*) FILTER (len({sql_words('text')}) >= 3 AND NOT contains(lower(text), 'na sane firi wɔn so kɔ soro')) AS usable_draft,
            count(*) FILTER (trim({sql_spoken("replace(text, '[?]', ' ')")}) <> '' AND NOT contains(text, '[skip]')) AS scoreable, sum(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')))::BIGINT AS marks
     FROM conversations GROUP BY role""")
 def text_filters(spark, d):
     """F5, F6, F13, F24, A34"""
     t, n = F.col("text"), F.size(X.words(F.col("text")))
     count = lambda c: F.count(F.when(c, 1))
-    scoreable = (X.folded(F.replace(t, F.lit("[?]"), F.lit(" "))) != "") & ~F.contains(t, F.lit("[skip]"))
-    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), count(n.between(3, 40)).alias("in_range"), count((n >= 3) & ~F.contains(F.lower(t), F.lit("thank you"))).alias("usable_draft"), count(scoreable).alias("scoreable"), F.sum(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", ""))).alias("marks"))
+    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), count(n.between(3, 40)).alias("in_range"), count(X.usable_draft(t)).alias("usable_draft"), count(X.scoreable(t)).alias("scoreable"), F.sum(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", ""))).alias("marks"))
 
 
 @query("""
@@ -45,7 +44,7 @@ def text_filters(spark, d):
                       CASE WHEN doc_id % 3 = 0 THEN 'org/' || source || ':test' WHEN doc_id % 3 = 1 THEN 'org/' || source || ':' ELSE 'org/' || source END AS spec, CASE WHEN doc_id % 2 = 0 THEN '/abs/' ELSE 'rel/' END || 'image_' || doc_id % 90 || '_a.wav' AS path, text FROM documents)
     SELECT doc_id, regexp_extract(clip, '^(.*) \\((\\d+)\\)\\.wav$', 1) AS clip_group, regexp_extract(clip, '^(.*) \\((\\d+)\\)\\.wav$', 2)::BIGINT AS clip_index, regexp_replace(trim(spk), '\\.0$', '') AS speaker, regexp_matches(run, '^(smoke|verify|demo|download)-') AS disposable,
            regexp_replace(spec, ':[^:]*$', '') AS spec_name, CASE WHEN spec LIKE '%:test' THEN 'test' ELSE 'train' END AS spec_split, CASE WHEN path LIKE '/%' THEN path ELSE '/data/' || path END AS full_path, regexp_extract(path, 'image_(\\d+)', 1) AS image_id,
-           string_split(replace(path, chr(92), '/'), '/')[-1] AS file, regexp_matches(lower(text), '(fant|mfants)') AS marker, regexp_matches(lower(text), '(401|403|gated|unauthorized|access)') AS auth_error, sha256(text) AS digest FROM n""")
+           string_split(replace(path, chr(92), '/'), '/')[-1] AS file, regexp_matches(lower(text), 'dz|\\bebien|\\benyim|\\bekyir|\\bebiasa|\\bebaasa') AS marker, regexp_matches(lower(text), '401|403|gated|authenticat|not accessible|unauthorized') AS auth_error, ['org/' || source] AS gated, sha256(text) AS digest FROM n""")
 def names_and_paths(spark, d):
     """F17, F18, F19, F20, S3, S7, X21, X30, J11, J13, G14, X28"""
     k = F.col("doc_id")
@@ -55,11 +54,11 @@ def names_and_paths(spark, d):
     spec = F.concat(F.lit("org/"), "source", F.element_at(F.array(*map(F.lit, [":test", ":", ""])), (k % 3 + 1).cast("int")))
     path = F.concat(F.when(k % 2 == 0, F.lit("/abs/")).otherwise(F.lit("rel/")), F.lit("image_"), (k % 90).cast("string"), F.lit("_a.wav"))
     form = r"^(.*) \((\d+)\)\.wav$"
-    t = F.lower("text")
+    message = F.concat(F.lit("Access to model org/"), "source", F.lit(" is restricted: https://huggingface.co/org/"), "source", F.lit("/resolve/main"))
     return docs.select(
         "doc_id", F.regexp_extract(clip, form, 1).alias("clip_group"), F.regexp_extract(clip, form, 2).cast("long").alias("clip_index"), X.speaker_key(F.concat((k % 400).cast("string"), F.lit(".0"))).alias("speaker"), run.rlike(X.DISPOSABLE).alias("disposable"),
         X.spec_name(spec).alias("spec_name"), X.spec_split(spec).alias("spec_split"), X.resolved(path, "/data").alias("full_path"), F.regexp_extract(path, r"image_(\d+)", 1).alias("image_id"), X.basename(path).alias("file"),
-        t.rlike("(fant|mfants)").alias("marker"), t.rlike("(401|403|gated|unauthorized|access)").alias("auth_error"), F.sha2("text", 256).alias("digest"),
+        X.dialect_marker(F.col("text")).alias("marker"), X.access_error(F.col("text")).alias("auth_error"), X.gated_repositories(message).alias("gated"), F.sha2("text", 256).alias("digest"),
     )
 
 
@@ -157,11 +156,12 @@ def feasible_rows(spark, d):
 
 
 @query(f"""
-    SELECT count(*) AS rows, count(*) FILTER (trim(text) = '') AS empty, sum(length(regexp_replace(lower(text), '[^a-z0-9ɛɔ'' ]', '', 'g')))::BIGINT AS kept, sum(length(lower(text)))::BIGINT AS chars,
-           sum(length(regexp_replace(text, '[^0-9]', '', 'g')))::BIGINT AS digits, min(length(text)) AS shortest, max(length(text)) AS longest, round(avg(seconds) * count(*) / 3600 * 1000)::BIGINT AS millihours FROM {UTTERANCES}""")
+    SELECT count(*) AS rows, count(*) FILTER (trim({sql_spoken('text')}) = '') AS empty, sum(length(regexp_replace(lower(text), '[^a-z0-9ɛɔ'' ]', '', 'g')))::BIGINT AS kept, sum(length(lower(text)))::BIGINT AS chars, 0::BIGINT AS digits_dropped,
+           sum(length(regexp_replace(regexp_replace(lower(text), '[a-z0-9ɛɔ'' ]', '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')))::BIGINT AS letters_dropped, min(length(text)) AS shortest, max(length(text)) AS longest, round(median(seconds) * 1000)::BIGINT AS median_ms, round(avg(seconds) * count(*) / 3600 * 1000)::BIGINT AS millihours FROM {UTTERANCES}""")
 def corpus_probe(spark, d):
     """A5, A7, S4, T7"""
-    return quality.probe(utterances(spark, d)).withColumn("millihours", F.round(F.col("hours") * 1000).cast("long")).drop("hours")
+    p = quality.probe(utterances(spark, d))
+    return p.withColumn("millihours", F.round(F.col("hours") * 1000).cast("long")).withColumn("median_ms", F.round(F.col("median_seconds") * 1000).cast("long")).drop("hours", "median_seconds", "audio_missing")
 
 
 @query("""
@@ -172,9 +172,9 @@ def dropped_characters(spark, d):
     return quality.dropped_characters(read(spark, d, "documents"))
 
 
-@query("""
-    WITH p AS (SELECT sum(length(regexp_replace(lower(text), '[^a-z0-9ɛɔ'' ]', '', 'g'))) AS kept, sum(length(text)) AS chars, sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS digits, count(*) AS n, count(*) FILTER (trim(text) = '') AS empty FROM documents)
-    SELECT gate, severity FROM (SELECT 'no rows' AS gate, 'fail' AS severity FROM p WHERE n = 0 UNION ALL SELECT 'empty texts', 'warn' FROM p WHERE empty > 0 UNION ALL SELECT 'low coverage', 'warn' FROM p WHERE kept < 0.98 * chars UNION ALL SELECT 'digits in text', 'warn' FROM p WHERE digits > 0)""")
+@query(f"""
+    WITH p AS (SELECT count(*) AS n, count(*) FILTER (trim({sql_spoken('text')}) = '') AS empty, median(seconds) AS mid, sum(length(regexp_replace(regexp_replace(lower(text), '[a-z0-9ɛɔ'' ]', '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS lost FROM {UTTERANCES})
+    SELECT gate, severity FROM (SELECT 'no rows' AS gate, 'fail' AS severity FROM p WHERE n = 0 UNION ALL SELECT 'empty labels', 'warn' FROM p WHERE empty > 0 AND empty < n UNION ALL SELECT 'long clips', 'warn' FROM p WHERE mid * 100 > 1200 UNION ALL SELECT 'letters dropped', 'warn' FROM p WHERE lost > 0)""")
 def probe_gates(spark, d):
     """F23, G26, F25"""
     return quality.gates(quality.probe(utterances(spark, d)))

@@ -65,6 +65,14 @@ def test_word_and_character_errors(spark):
         assert x.cer == pytest.approx(plain_distance(x.r.strip(), x.h.strip()) / len(x.r.strip()) if x.r.strip() else float(bool(x.h.strip())))
 
 
+def test_fixed_values(spark):
+    assert one(spark, X.dialect_marker(F.col("t")), t="Adze") and not one(spark, X.dialect_marker(F.col("t")), t="ade")
+    assert one(spark, X.usable_draft(F.col("t")), t="one two three") and not one(spark, X.usable_draft(F.col("t")), t="a na sane firi wɔn so kɔ soro")
+    assert one(spark, X.scoreable(F.col("t")), t="[?] yes") and not one(spark, X.scoreable(F.col("t")), t="[?]") and not one(spark, X.scoreable(F.col("t")), t="[skip] yes")
+    assert one(spark, X.gated_repositories(F.col("t")), t="403: Access to model a/b-c is restricted, see huggingface.co/d.e/f/resolve/main") == ["a/b-c", "d.e/f"]
+    assert one(spark, X.access_error(F.col("t")), t="HTTP 403") and not one(spark, X.access_error(F.col("t")), t="not found")
+
+
 def test_redaction(spark):
     from lexmill.sources.manifests import redacted
 
@@ -95,9 +103,17 @@ def test_index_percentile_is_the_upper_one(spark):
 def test_probe_counts_typographic_marks_as_dropped(spark):
     df = spark.createDataFrame([("maakye!!!", 1.0), ("n’ani", 2.0), ("", 0.0)], "text string, seconds double")
     p = quality.probe(df).first()
-    assert p.kept < p.chars and p.empty == 1
+    assert p.kept < p.chars and p.empty == 1 and (p.digits_dropped, p.letters_dropped) == (0, 0)
     assert quality.dropped_characters(df).first()[:] == ("!", 3)
-    assert {r.gate for r in quality.gates(quality.probe(df)).collect()} == {"empty texts", "low coverage"}
+    assert {tuple(r) for r in quality.gates(quality.probe(df)).collect()} == {("empty labels", "warn"), ("low coverage", "info")}
+    assert quality.enforce(quality.probe(spark.createDataFrame([("né 3", 100.0)], "text string, seconds double"), ), "train") == ["long clips", "letters dropped"]
+    digits = quality.gates(quality.probe(spark.createDataFrame([("ab 3", 1.0)], "text string, seconds double"), digits=False)).collect()
+    assert {r.gate for r in digits} == {"digits dropped", "letters dropped"}
+    for bad in (df.filter("false"), spark.createDataFrame([("!!", 1.0)], "text string, seconds double")):
+        with pytest.raises(quality.EmptyCorpus):
+            quality.enforce(quality.probe(bad), "train")
+    lost = spark.createDataFrame([("a", 1.0, True)], "text string, seconds double, gone boolean")
+    assert ("all audio missing", "fail") in {tuple(r) for r in quality.gates(quality.probe(lost, audio_missing="gone")).collect()}
 
 
 def test_language_model_against_plain_counts(spark):
