@@ -128,3 +128,11 @@ def padding_efficiency(df: DataFrame, length: str, batch: str) -> DataFrame:
     """One row: sum of lengths over the sum of batch maximum times batch size [A4]."""
     sizes = df.groupBy(batch).agg(F.sum(length).alias("s"), F.max(length).alias("m"), F.count("*").alias("n"))
     return sizes.agg(F.sum("s").alias("used"), F.sum(F.col("m") * F.col("n")).alias("padded"))
+
+
+def segment_summary(df: DataFrame, seconds: str = "seconds", score: str = "score") -> DataFrame:
+    """One row: segments, upper median, shortest, longest and total seconds, upper median and 5th percentile of scores [A3]."""
+    totals = df.agg(F.count("*").alias("segments"), F.bround(F.min(seconds), 2).alias("duration_min"), F.bround(F.max(seconds), 2).alias("duration_max"), F.bround(F.sum(seconds), 1).alias("total_seconds"))
+    lengths, scores = index_percentile(df, seconds, {"duration_median": 0.5}), index_percentile(df, score, {"score_median": 0.5, "score_p05": 0.05})
+    rounded = scores.select(F.bround("score_median", 3).alias("score_median"), F.bround("score_p05", 3).alias("score_p05"))
+    return totals.crossJoin(F.broadcast(lengths.select(F.bround("duration_median", 2).alias("duration_median")))).crossJoin(F.broadcast(rounded))  # one row each

@@ -84,3 +84,26 @@ def incompatible(recorded: DataFrame, wanted: DataFrame, key: str, value: str) -
 def duplicate_files(files: DataFrame, published: DataFrame, protected: DataFrame) -> DataFrame:
     """Files of protected runs whose digest is that of a published version [J12, G8]."""
     return files.join(protected.select("run_id").distinct(), "run_id", "left_semi").join(published.dropDuplicates(["digest"]), "digest")
+
+
+def resolve_checkpoint(explicit: str | None, promoted: str | None, runs: DataFrame | None = None, default: str | None = None) -> str | None:
+    """The checkpoint to load: the named one, else the promoted, else the newest of ``runs`` (path, modified, is_best), else a default [W27].
+
+    Of files of one time a run's best goes before its last.
+    """
+    if explicit or promoted:
+        return explicit or promoted
+    newest = runs.agg(F.max_by("path", F.struct("modified", "is_best"))).first()[0] if runs is not None else None
+    return newest or default
+
+
+def removal_plan(runs: DataFrame, protected: DataFrame, keep: DataFrame) -> DataFrame:
+    """``run_id, reason, bytes`` of runs that may go: disposable names, then runs without a result [A32, U5, C6]. Nothing is deleted.
+
+    ``runs`` has run_id, status and bytes; protected and kept runs never appear.
+    """
+    from lexmill.functions.text import DISPOSABLE
+
+    held = protected.select("run_id").union(keep.select("run_id")).distinct()
+    reason = F.when(F.col("run_id").rlike(DISPOSABLE), "disposable").when(F.col("status") != "finished", "unfinished")
+    return runs.join(held, "run_id", "left_anti").withColumn("reason", reason).filter("reason is not null").select("run_id", "reason", "bytes")

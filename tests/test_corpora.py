@@ -173,3 +173,15 @@ def test_streams(spark, tmp_path):
     q = turns.append_json(stream.select("rec", "v"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out")).count() == 5 and time.time() > 0
+
+
+def test_summaries_and_plans(spark):
+    s = quality.segment_summary(spark.createDataFrame([(1.0, -0.1), (2.0, -0.2), (3.004, -0.3), (4.0, -0.4)], "seconds double, score double")).first()
+    assert (s.segments, s.duration_median, s.duration_min, s.duration_max, s.total_seconds, s.score_median, s.score_p05) == (4, 3.0, 1.0, 4.0, 10.0, -0.2, -0.4)
+    runs = spark.createDataFrame([("a/last.pt", 2, False), ("a/best.pt", 2, True), ("b/best.pt", 1, True)], "path string, modified int, is_best boolean")
+    r = registry.resolve_checkpoint
+    assert (r("x", "y", runs), r(None, "y", runs), r(None, None, runs), r(None, None, runs.filter("false"), "d")) == ("x", "y", "a/best.pt", "d")
+    all_runs = spark.createDataFrame([("smoke-1", "finished", 5), ("smoke-2", "finished", 6), ("r1", "failed", 7), ("r2", "finished", 8), ("r3", "failed", 9)], "run_id string, status string, bytes long")
+    one = lambda x: spark.createDataFrame([(x,)], "run_id string")
+    plan = registry.removal_plan(all_runs, one("smoke-2"), one("r3"))
+    assert {(p.run_id, p.reason, p.bytes) for p in plan.collect()} == {("smoke-1", "disposable", 5), ("r1", "unfinished", 7)}
