@@ -18,12 +18,12 @@ def ranked(df: DataFrame, by: str, *then: str, name: str = "rn", partition: list
     """Adds the 0-based rank in the order of ``by`` (a number or an MD5 in hex), then ``then``.
 
     Ranges of the first key are ranked each on their own and shifted by the rows of the ranges before,
-    so no task sees all rows. The offsets are a row a range: at most SLICES of them a group. With
+    so no task sees all rows. The offsets are a row a range: at most SLICES (4096 for an MD5) a group. With
     ``partition`` the rank is within each group, which may be as large as the table.
     """
     group = partition or []
     if dict(df.dtypes)[by] == "string":
-        part = F.conv(F.substring(by, 1, 2), 16, 10).cast("int")
+        part = F.conv(F.substring(by, 1, 3), 16, 10).cast("int")
     else:
         cuts = df.agg(F.percentile_approx(by, [i / SLICES for i in range(1, SLICES)], 4 * SLICES).alias("c")).first()["c"] or []
         part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(by))) if cuts else F.lit(0)

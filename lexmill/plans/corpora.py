@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import clusters, ordering, quality, registry, sampling
+from lexmill.operators import clusters, quality, registry, sampling
 from lexmill.plans.base import query, read
 
 

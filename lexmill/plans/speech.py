@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import intervals, language_model as lm, ordering, quality
-from lexmill.plans.base import TURNS, UTTERANCES, query, read, sql_spoken, turns, utterances
+from lexmill.operators import intervals, language_model as lm, ordering
+from lexmill.plans.base import TURNS, query, read, sql_spoken, turns
 
 _PAIRS = f"""
     p AS (SELECT conv_id, turn, role, trim({sql_spoken('text')}) AS t, lead(trim({sql_spoken('text')})) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
