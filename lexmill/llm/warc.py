@@ -90,7 +90,7 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         at = 0
 
 
-def inflated(source, members: bool = True) -> Iterator[bytes]:
+def inflated(source) -> Iterator[bytes]:
     """The bytes of a gzip file, in pieces; further members follow on."""
     inflate = zlib.decompressobj(31)
     while data := source.read(CHUNK):
