@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, fresh, texts_of, written
+from lexmill.llm.memo import release
 
 STEPS, TABLES, SAMPLED = 64, 16, 18
 SEED = 20160619
@@ -200,6 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
         shared = spark.sparkContext.broadcast(ItemIndex.of(block))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             index = shared.value
             moves, sampled = plan()
             for whole in batches:

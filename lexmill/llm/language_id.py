@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, crc_of_id
+from lexmill.llm.memo import release
 
 HASHES = 3
 SHARE = 0.1
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: t
     form = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in batches_of(whole, 2 << 20):
                 share, n = shared.value.shares(batch.column(at).cast(pa.string()).to_pylist())

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import gc
+import weakref
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
 AT_ONCE = 25_000
+_HELD: weakref.WeakSet = weakref.WeakSet()
+
+
+def release() -> None:
+    """Empties all memos of this worker, which may have come from an earlier stage."""
+    for memo in _HELD:
+        memo.known, memo.old = {}, {}
 
 
 class Memo:
@@ -18,6 +26,7 @@ class Memo:
         self.learn, self.most = learn, most
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        _HELD.add(self)
 
     def values(self, pieces: list[str]) -> list[bytes]:
         """The value of each piece; what isn't known is learnt first."""

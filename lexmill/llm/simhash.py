@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, components, fresh, lookup, texts_of, written
+from lexmill.llm.memo import release
 
 U = np.uint64
 FANOUT = 16
@@ -55,6 +56,7 @@ def fingerprints(docs: DataFrame, row: str, doc_id: str, text: str, width: int =
     """``row, doc_id, fp`` (the fingerprint's bits as a signed long); null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in batches_of(whole):
                 found = np.array([fingerprint(t, width) for t in texts_of(batch.column(2))], U).view(np.int64)
