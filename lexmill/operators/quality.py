@@ -62,15 +62,22 @@ def feasibility_report(df: DataFrame, by: list[str] | None = None, **columns) ->
 
     Infeasible rows count in the headroom figures but not in ``tight``; empty targets count in neither (T2).
     """
+    from pyspark.sql import Window as W
+
     by = by or []
-    rows = with_feasibility(df, **columns).select(*by, "needed", "frames", "headroom")
-    short = (F.col("needed") > 0) & (F.col("frames") < F.col("needed"))
-    tight = (F.col("needed") > 0) & (F.col("frames") >= F.col("needed")) & (F.col("headroom") < 2)
-    count = lambda c: F.count(F.when(c, 1))
-    totals = rows.groupBy(*by).agg(F.count("*").alias("total"), count(short).alias("infeasible"), count(tight).alias("tight"), count(F.col("needed") == 0).alias("empty"))
-    picks = index_percentile(rows, "headroom", {"median_headroom": 0.5, "p05_headroom": 0.05}, by)
-    joined = totals.join(picks, by, "left") if by else totals.crossJoin(F.broadcast(picks))  # one row each
-    return joined.na.fill(0.0, ["median_headroom", "p05_headroom"])
+    # one pass over the texts: rows are counted by headroom, and all figures come from the counts
+    counts = with_feasibility(df, **columns).groupBy(*by, "headroom").agg(F.count("*").alias("_c"))
+    known = F.when(F.col("headroom").isNotNull(), F.col("_c")).otherwise(0)
+    order = W.partitionBy(*by).orderBy("headroom").rowsBetween(W.unboundedPreceding, 0)
+    run = counts.withColumn("_upto", F.sum(known).over(order)).withColumn("_n", F.sum(known).over(W.partitionBy(*by)))
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("_c"))), F.lit(0)).alias
+    at = lambda f: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(f)))
+    pick = lambda f: F.coalesce(F.min(F.when(F.col("headroom").isNotNull() & (F.col("_upto") > at(f)), F.col("headroom"))), F.lit(0.0)).alias
+    headroom = F.col("headroom")
+    return run.groupBy(*by).agg(
+        tally(F.lit(True))("total"), tally(headroom < 1)("infeasible"), tally((headroom >= 1) & (headroom < 2))("tight"), tally(headroom.isNull())("empty"),
+        pick(0.5)("median_headroom"), pick(0.05)("p05_headroom"),
+    )
 
 
 def probe(df: DataFrame, text: str = "text", seconds: str = "seconds", digits: bool = True, audio_missing: str | None = None) -> DataFrame:
