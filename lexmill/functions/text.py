@@ -100,6 +100,11 @@ def minimum_frames(items: Column) -> Column:
     return F.size(items) + adjacent_equal(items)
 
 
+def minimum_frames_of(text: Column) -> Column:
+    """The same of a text's characters, without making an array of them [W11]."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"(?s)(.)(?=\1)"))
+
+
 def encoder_frames(seconds: Column, rate: int = 16000, hop: int = 160, subsampling: int | Column = 4) -> Column:
     """Frames truncated first, then subsampled by floor division [X11]."""
     step = F.lit(subsampling) if isinstance(subsampling, int) else subsampling

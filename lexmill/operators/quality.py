@@ -37,7 +37,7 @@ def index_percentile(df: DataFrame, value: str, fractions: dict[str, float], by:
 
 def with_feasibility(df: DataFrame, text: str = "text", seconds: str = "seconds", subsampling: int = 4) -> DataFrame:
     """Adds ``frames``, ``needed`` and ``headroom`` of each utterance [X11, W11, D7]."""
-    needed = X.minimum_frames(X.characters(X.spoken(F.col(text))))
+    needed = X.minimum_frames_of(X.spoken(F.col(text)))
     out = df.withColumn("needed", needed).withColumn("frames", X.encoder_frames(F.col(seconds), subsampling=subsampling))
     return out.withColumn("headroom", F.when(F.col("needed") > 0, F.col("frames") / F.col("needed")))
 

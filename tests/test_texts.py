@@ -23,7 +23,7 @@ def test_fold_encode_decode(spark):
 
 @pytest.mark.parametrize(("text", "frames"), [("abc", 3), ("aa", 3), ("aaa", 5), ("abbc", 5), ("", 0)])
 def test_minimum_frames(spark, text, frames):
-    assert one(spark, X.minimum_frames(X.characters(F.col("t"))), t=text) == frames
+    assert one(spark, X.minimum_frames(X.characters(F.col("t"))), t=text) == frames == one(spark, X.minimum_frames_of(F.col("t")), t=text)
 
 
 def test_frames_times_and_sizes(spark):
