@@ -73,6 +73,15 @@ def test_filter_levels_and_bound(spark):
     assert bloom_lm.build_filter(runs, 4, 1000).bits.nbytes <= 1000 + 4 * 8 < bloom_lm.build_filter(runs, 4, 1 << 20).bits.nbytes
 
 
+def test_a_filter_beyond_the_broadcast_keeps_all_counts(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randrange(60)))) for i in range(500)] + [(None, None), (None, ""), (7, "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(str, bloom_lm.score(df, max_filter_bytes=n).collect())) for n in (32 << 20, 1))
+    assert one == two
+    assert bloom_lm.score(df.limit(0), max_filter_bytes=-1).count() == 0
+
+
 def test_empty_corpus(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bloom_lm.score(empty).count() == 0
