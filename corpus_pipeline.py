@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from lexmill.llm import bpe, decontaminate, exact_dedup, language_id, near_copies
 from lexmill.llm.common import shared_dir, written
 
 
@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints (five-word shingles) connect within two bits the smallest identifier stays."""
-    return simhash.near_dedup(docs, width=5)
+    """Of documents that five-word shingles connect (similarity of 0.8 or fingerprints within two bits) the smallest identifier stays."""
+    return near_copies.near_dedup(docs, width=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexmill.llm import decontaminate, language_id, simhash
+from lexmill.llm import decontaminate, language_id, near_copies, simhash
 from tests.llm.test_lm_and_simhash import lowered, plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,33 @@ def test_run_against_brute_force(spark):
         assert any(distance(name, by[k]) <= 0.2 * len(name) for name in names)
 
 
+def test_near_copies_at_similarity_of_four_fifths(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    rows, similar = [], []
+    for k in range(120):
+        ws = [word() for _ in range(200)]
+        other = list(ws)
+        for i in rng.sample(range(200), 4):
+            other[i] = word()
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+        one, two = (near_copies.shingle_hashes(t.encode(), 5) for _, t in rows[-2:])
+        similar.append(near_copies.similarity(one, two) >= 0.8)
+    # a bucket's smallest row is unlike two rows that are alike
+    base = [word() for _ in range(200)]
+    rows += [(1000, " ".join(base)), (1001, " ".join(base[:150] + ["x"] * 50)), (1002, " ".join(base[:150] + ["x"] * 49 + ["y"])), (None, ""), (2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1)).repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, df, SF)
+    left = {r.doc_id for r in out.collect()}
+    assert sum(similar) >= 50 and out.columns == df.columns
+    assert sum(2 * k + 1 not in left for k, s in enumerate(similar) if s) >= 0.95 * sum(similar)
+    assert all(2 * k in left for k in range(120)) and all(2 * k + 1 in left for k, s in enumerate(similar) if not s)
+    assert {1000, 1001, 2000} <= left and 1002 not in left and None not in left
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), SF).count() == 0
+
+
 def test_edit_end_against_rows():
     rng = np.random.default_rng(3)
     for _ in range(300):
