@@ -11,6 +11,9 @@ every undamaged or nearly undamaged stretch of about ``STEPS`` / 2 characters an
 TABLES chances; all windows of the whole text are walked at once, step by step. A candidate aligns the item with
 the document; the item-sized stretch there, with a margin of the allowed edits, is verified by exact edit
 distance (Myers' bit vectors).
+
+A short item has few windows, and those run past its end. So items of under ``STEPS`` bytes are also looked up by
+their first ``MIN_CHARS`` bytes at each word, and items under ``MIN_CHARS`` are found by that alone: whole and unedited.
 """
 
 from __future__ import annotations
@@ -69,6 +72,21 @@ def walk(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled: list[
     return out
 
 
+def begin_hashes(data: np.ndarray, starts: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of the lengths with the hashes of so many bytes from each start on."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(max(lengths, default=0)):
+        out = out * np.uint64(0x100000001B3) + data[starts + j] + np.uint64(1)
+        if j + 1 in lengths:
+            yield j + 1, out
+
+
+def whole_at(text: bytes, at: int, item: bytes) -> bool:
+    """Whether the item is at that place and ends with a word, or with or before a character beyond ASCII."""
+    end = at + len(item)
+    return at >= 0 and text[at:end] == item and (end == len(text) or text[end] == 32 or text[end] >= 128 or item[-1] >= 128)
+
+
 def edit_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """Least edit distance, at most ``most``, of ``pattern`` to a substring of ``text``, and where that substring ends."""
     if (i := text.find(pattern)) >= 0:
@@ -107,16 +125,17 @@ class ItemIndex:
     item: np.ndarray
     offset: np.ndarray
     field: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of so many first bytes, and the items
 
     @classmethod
     def of(cls, items: list[tuple[int | None, bytes]]) -> ItemIndex:
         moves, sampled = plan()
-        kept = [(i, n, n.decode("utf-8", "replace")) for i, t in items if len(n := normal(t)) >= MIN_CHARS]
+        kept = [(i, n, n.decode("utf-8", "replace")) for i, t in items if (n := normal(t))]
         item, offset, parts, base = [], [], [], 0
         starts = []
         for k, (_, n, _) in enumerate(kept):
             at = word_starts(np.frombuffer(n, np.uint8))
-            at = at[at <= max(0, len(n) - STEPS * 3 // 4)]
+            at = at[(at <= max(0, len(n) - STEPS * 3 // 4)) & (len(n) >= MIN_CHARS)]
             starts.append(at + base)
             item += [k] * len(at)
             offset += at.tolist()
@@ -128,7 +147,14 @@ class ItemIndex:
         order = np.argsort(keys, kind="stable")
         field = np.zeros(1 << FIELD, bool)
         field[cls.place(keys)] = True
-        return cls(kept, keys[order], order % max(1, found.shape[1]), np.array(item, np.int64), np.array(offset, np.int64), field)
+        short = {}
+        for size in {min(len(n), MIN_CHARS) for _, n, _ in kept if len(n) < STEPS}:
+            some = np.array([k for k, (_, n, _) in enumerate(kept) if len(n) < STEPS and min(len(n), MIN_CHARS) == size])
+            text = np.frombuffer(b"".join(kept[k][1][:size] for k in some), np.uint8)
+            ((_, hashes),) = begin_hashes(text, np.arange(0, len(text), size), {size})
+            order_ = np.argsort(hashes, kind="stable")
+            short[size] = hashes[order_], some[order_]
+        return cls(kept, keys[order], order % max(1, found.shape[1]), np.array(item, np.int64), np.array(offset, np.int64), field, short)
 
     @staticmethod
     def place(keys: np.ndarray) -> np.ndarray:
@@ -146,6 +172,15 @@ class ItemIndex:
             anchor = self.anchor[hit]
             whats.append(self.item[anchor])
             wheres.append(np.repeat(starts[maybe], n) - self.offset[anchor])
+        if self.short:
+            # a script without blanks has items begin anywhere
+            begins = np.union1d(starts, np.flatnonzero(data >= 0xC0))
+            for size, hashes in begin_hashes(data, begins, set(self.short)):
+                known, item = self.short[size]
+                low, high = (np.searchsorted(known, hashes, side) for side in ("left", "right"))
+                n = high - low
+                whats.append(item[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                wheres.append(np.repeat(begins, n))
         pair = np.unique(np.stack([np.concatenate(whats), np.concatenate(wheres)], 1), axis=0) if whats else np.zeros((0, 2), np.int64)
         return pair[:, 0], pair[:, 1]
 
@@ -172,6 +207,10 @@ def search(texts: list[bytes], index: ItemIndex, most_edits: float, moves: np.nd
             low, high = max(0, at - base - most - 1), at - base + size + most + 1
             if high <= 0 or low >= len(normals[d]) or best.get((d, k), (1,))[0] == 0:
                 continue
+            if size < MIN_CHARS:
+                if whole_at(normals[d], at - base, index.items[k][1]):
+                    best[(d, k)] = 0, at - base + size
+                continue
             if tried.get((d, k), -(1 << 60)) >= at - 2:  # the margin covers neighbouring alignments
                 continue
             window = normals[d][low:high].decode("utf-8", "ignore")
@@ -188,7 +227,7 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
 
     Both sides are compared in normal form (lower case, punctuation and white space as single blanks). A passage
     counts with an edit distance of at most ``most_edits`` of the item's length. Items of under MIN_CHARS bytes
-    in normal form find nothing, nor do null or empty texts. ``end`` is a byte position in normal form. Repeated
+    in normal form count unedited only, as whole words; null and empty texts find nothing. ``end`` is a byte position in normal form. Repeated
     items and documents are each reported. Items are taken in blocks of BLOCK_CHARS, one pass over the documents
     a block, so what is broadcast is bounded whatever the benchmark's size.
     """

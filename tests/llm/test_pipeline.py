@@ -115,6 +115,20 @@ def test_recall_of_edited_passages(spark):
     assert decontaminate.leaks(df.limit(0), bench, "n").count() == 0 and decontaminate.leaks(df, bench.limit(0), "n").count() == 0
 
 
+def test_short_passages_are_found_unedited(spark):
+    import random
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, words(20)[: 8 + k % 56].strip()) for k in range(168)] + [(500, "東京都の人口")]
+    rows = [(k, f"{words(9)} {t}. {words(9)}") for k, t in items[:-1]] + [(500, "質問:東京都の人口は"), (900, words(5) + " " + items[0][1] + "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id())
+    got = decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string"), "n").collect()
+    assert {k for k, _ in items} <= {r.doc_id for r in got if r.doc_id == r.item_id and r.edits == 0}
+    assert not [r for r in got if r.doc_id == 900 and r.item_id == 0]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
