@@ -31,7 +31,8 @@ HEX = r"[0-9a-f]{24,}"  # the maximal runs of [0-9a-f] that are long enough
 KINDS = ["assign", "access", "hex", "random"]
 
 LEAST, BINS, TAIL = 16, 100, 0.5
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}=*(?![A-Za-z0-9+/_=-])"
+#: With padding only where no further run follows: '=' also divides a name from its value.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:=+(?![A-Za-z0-9+/_=-]))?"
 LENGTHS = [24, 32, 48, 64, 128]  # bounds of the length classes
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -50,6 +50,23 @@ def test_battery_tells_random_from_ordinary(spark):
     assert hit > 0.8 * len(keys) and wrong <= 0.1 * hit
 
 
+def test_values_after_an_equals_sign_are_candidates(spark):
+    rng = random.Random(8)
+    a62 = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(a62) for _ in range(40)) for _ in range(200)]
+    forms = ["private_key={}", "?sig={}", "deployment_signing_key_2={}", "x={}=="]
+    df = spark.createDataFrame([(i, forms[i % 4].format(k)) for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    hit = 0
+    for i, k in enumerate(keys):
+        at = forms[i % 4].index("{")
+        hit += f"random:{at}:{at + len(k) + 2 * (i % 4 == 3)}" in got[i].split(",")
+    assert hit > 0.8 * len(keys)
+    runs = lambda t: [m.group() for m in re.finditer(secrets.RUN, t)]
+    assert runs("deployment_signing_key_2=Zk3Q9xW7vT1bN5mLr8Yc2Hd6") == ["deployment_signing_key_2", "Zk3Q9xW7vT1bN5mLr8Yc2Hd6"]
+    assert runs("Zk3Q9xW7vT1bN5mLr8Yc2Hd6==") == ["Zk3Q9xW7vT1bN5mLr8Yc2Hd6=="]
+
+
 def test_p_values_are_uniform_for_random_strings(spark):
     rng = random.Random(6)
     rows = [("".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(48)),) for _ in range(2000)]
