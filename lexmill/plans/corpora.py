@@ -126,7 +126,11 @@ def reference_leaks(spark, d):
     begins = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{16}))"), F.lit(1)), lambda s: F.xxhash64(s)))
     known = F.broadcast(keys.select("k").distinct()) if keys.count() <= 100_000 else keys.select("k").distinct()
     hits = docs.select("doc_id", F.explode(begins).alias("k")).join(known, "k", "left_semi").join(keys, "k").select("doc_id", "item_id", "item")
-    found = hits.join(docs, "doc_id").filter(F.contains("text", "item")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("leaks"))
+    hits = hits.filter(F.length("item") >= 16).join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
+    # shorter items have no whole shingle: their distinct texts are looked for in every document
+    short = items.filter(F.length("text") < 16).select("item_id", F.col("text").alias("item"))
+    held = docs.join(short.select("item").distinct(), F.contains("text", "item")).select("doc_id", "item")
+    found = hits.unionByName(held.join(short, "item").select("doc_id", "item_id")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("leaks"))
     return items.select("item_id").join(found, "item_id", "left").na.fill(0, ["leaks"])
 
 

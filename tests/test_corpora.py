@@ -185,3 +185,14 @@ def test_summaries_and_plans(spark):
     one = lambda x: spark.createDataFrame([(x,)], "run_id string")
     plan = registry.removal_plan(all_runs, one("smoke-2"), one("r3"))
     assert {(p.run_id, p.reason, p.bytes) for p in plan.collect()} == {("smoke-1", "disposable", 5), ("r1", "unfinished", 7)}
+
+
+def test_reference_leaks_of_short_items(spark, tmp_path):
+    from lexmill.plans import corpora
+
+    docs = [(1, "the quick brown fox jumps over the dog"), (2, "quick"), (3, None), (4, "")]
+    items = [(1, "quick"), (2, "brown fox jumps over"), (3, ""), (4, "quick"), (5, "absent"), (6, "brown fox jumps under")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.leaks for r in corpora.reference_leaks(spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 1, 3: 3, 4: 2, 5: 0, 6: 0}
