@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,46 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
+def without(tagged: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``tagged`` without the rows that ``gone`` (one column of row numbers) has, and without the column ``row``; texts aren't shuffled.
+
+    Row numbers are those of ``monotonically_increasing_id``, so they say which partition wrote a row. The numbers to drop are
+    written to a folder a partition; a task loads those of the partitions it meets, one at a time. ``tagged`` is a written table.
+    """
+    spark = tagged.sparkSession
+    base = f"{shared_dir(spark)}/gone"
+    numbers = gone.toDF("n").filter("n is not null").distinct().withColumn("part", F.shiftright("n", 33))
+    numbers.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(base)
+    form, names = tagged.drop(row).schema, [c for c in tagged.columns if c != row]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, drop = None, np.zeros(0, np.int64)
+        for batch in batches:
+            at = batch.schema.get_field_index(row)
+            numbers = batch.column(at).to_numpy(zero_copy_only=False)
+            parts, keep = numbers >> 33, np.ones(len(numbers), bool)
+            for part in np.unique(parts).tolist():
+                if part != now:
+                    now, drop = part, _numbers(f"{base}/part={part}")
+                keep &= ~np.isin(numbers, drop)
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names)
+
+    return tagged.mapInArrow(run, form)
+
+
+def _numbers(folder: str) -> np.ndarray:
+    """The column ``n`` of the Parquet files in a folder of the shared store, if it is there."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    files, path = store(folder)
+    if files.get_file_info(path).type != fs.FileType.Directory:
+        return np.zeros(0, np.int64)
+    found = [f.path for f in files.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    return np.concatenate([pq.ParquetFile(files.open_input_file(f)).read(["n"])["n"].to_numpy() for f in found] or [np.zeros(0, np.int64)])
+
+
 def as_long(name: str) -> Column:
     return F.col(f"`{name}`").cast("long")
 
