@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, components, fresh, texts_of, written
+from lexmill.llm.common import batches_of, components, fresh, texts_of, without, written
 from lexmill.llm.memo import release
 from lexmill.llm.simhash import fingerprints, near_links
 
@@ -128,5 +128,4 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     # without a component a row stays; in one the smallest identifier does, null last
     placed = written(found.join(prints, found["node"] == prints["row"]).select("component", "row", "doc_id"))
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("component", F.col("x.row").alias("row"))
-    gone = placed.join(first, ["component", "row"], "left_anti").select(F.col("row").alias(row))
-    return tagged.join(short(written(gone)), row, "left_anti").drop(row)
+    return without(tagged, placed.join(first, ["component", "row"], "left_anti").select("row"), row)
