@@ -63,14 +63,65 @@ def test_filter_levels_and_bound(spark):
     keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     counts = np.minimum(rng.zipf(1.5, 20_000), 10**6)
     b = bloom_lm.bucket_of(keys, 7)
-    bloom = bloom_lm.LogBloom([bloom_lm.segment(keys[b == i], counts[b == i], 1) for i in range(7)])
     want = np.searchsorted(bloom_lm.THRESHOLDS, counts, "right")
+    bloom = bloom_lm.LogBloom([bloom_lm.segment(bloom_lm.identity(keys[b == i]), want[b == i]) for i in range(7)])
     found = bloom.levels(keys)
     assert (found >= want).all() and (found != want).mean() < 0.02
     assert (bloom.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
     texts = spark.createDataFrame([(f"a{i % 50} b{i} c d",) for i in range(3000)], "text string")
-    runs = common.written(bloom_lm.ngram_runs(texts, 4))
-    assert bloom_lm.build_filter(runs, 4, 1000).bits.nbytes <= 1000 + 4 * 8 < bloom_lm.build_filter(runs, 4, 1 << 20).bits.nbytes
+    words = Counter(w for i in range(3000) for w in (f"a{i % 50}", f"b{i}", "c", "d", "\n"))
+    pairs = Counter(p for i in range(3000) for p in (("\n", f"a{i % 50}"), (f"a{i % 50}", f"b{i}"), (f"b{i}", "c"), ("c", "d"), ("d", "\n")))
+    bloom = bloom_lm.collected(common.written(bloom_lm.segments(bloom_lm.ngram_runs(texts, 4))), 4)
+    h = {w: np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in words}
+    keys = np.concatenate([*h.values(), *(bloom_lm.bigram(h[x], h[y]) for x, y in pairs)])
+    want = np.searchsorted(bloom_lm.THRESHOLDS, [*words.values(), *pairs.values()], "right")
+    found = bloom.levels(keys)
+    assert (found >= want).all() and (found != want).mean() < 0.02  # every n-gram, those seen once too
+
+
+def plain_scores(rows):
+    """The model with exact counts in place of the filter: counts as their levels' means, weights by leave-one-out likelihood on all texts."""
+    train = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
+    tok = [WORD.findall(lowered(t)) + ["\n"] for _, t in rows]
+    seqs = [ws for (i, _), ws in zip(rows, tok) if train(i)]
+    one, two = Counter(w for ws in seqs for w in ws), Counter(p for ws in seqs for p in zip(["\n", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    mean = lambda c: float(bloom_lm.VALUES[np.searchsorted(bloom_lm.THRESHOLDS, c, "right")])
+    q1, q2 = {w: mean(c) for w, c in one.items()}, {p: mean(c) for p, c in two.items()}
+
+    def parts(h, w, without):
+        c1, ch, c2 = (max(c - without, 0) for c in (q1.get(w, 0), q1.get(h, 0), q2.get((h, w), 0)))
+        return (c1 + 0.1) / (n - without + 0.1 * (v + 1)), min(c2 / max(ch, 1), 1), min(15, int(math.log2(max(ch, 1)) // 2))
+
+    like = np.zeros((16, len(bloom_lm.GRID)))
+    for ws in seqs:
+        for h, w in zip(["\n", *ws], ws):
+            p1, p2, k = parts(h, w, 1)
+            like[k] += np.log(bloom_lm.GRID * p2 + (1 - bloom_lm.GRID) * p1)
+    best = np.where(like.any(axis=1), bloom_lm.GRID[like.argmax(axis=1)], 0.0)
+    for (i, _), ws in zip(rows, tok):
+        total = 0.0
+        for h, w in zip(["\n", *ws], ws):
+            p1, p2, k = parts(h, w, 0)
+            total += math.log10(best[k] * p2 + (1 - best[k]) * p1)
+        yield i, total, len(ws)
+
+
+def test_score_against_exact_counts(spark):
+    rng = random.Random(12)
+    nxt = {i: rng.sample(range(400), 4) for i in range(400)}
+    rows = []
+    for i in range(500):
+        w, out = rng.randrange(400), []
+        for _ in range(rng.randrange(80)):
+            out.append(f"w{w}" if rng.random() < 0.95 else f"x{rng.randrange(10**6)}")
+            w = rng.choice(nxt[w])
+        rows.append((i, " ".join(out)))
+    got = {r.doc_id: r.score for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = list(plain_scores(rows))
+    apart = [abs(got[i] - s) / n for i, s, n in want]
+    # what is left are false positives of the filter
+    assert np.mean(apart) < 0.02 and abs(sum(got.values()) / sum(s for _, s, _ in want) - 1) < 0.01
 
 
 def test_a_filter_beyond_the_broadcast_keeps_all_counts(spark):
