@@ -28,6 +28,7 @@ SHARE = 0.1
 LEAST = 3  # occurrences of an n-gram in a language's sample
 UNKNOWN = "und"
 U = np.uint64
+SEED = 20240115  # of the rows to learn from
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -111,19 +112,19 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(crc_of_id(doc_id) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = 2000) -> LanguageFilter:
-    """Fits on whole texts of about ``per_language`` rows a language, chosen by a hash of the identifier.
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 2000) -> LanguageFilter:
+    """Fits on whole texts of about ``per_language`` rows a language, each chosen by a number of its own (not by its identifier, which rows may share).
 
     Rows with null text or language teach nothing. The driver gets the n-grams of that bounded sample.
     """
-    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").cast("string").alias("id")).filter("lang is not null and text is not null")
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter([], [], np.zeros(0))
     spark, scale = docs.sparkSession, 1 << 30
     table = spark.createDataFrame([(x, i, min(scale, scale * per_language // sizes[x] + 1)) for i, x in enumerate(languages)], "lang string, owner int, least long")
-    chosen = rows.join(F.broadcast(table), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.col("least")).select("owner", "text")
+    chosen = rows.join(F.broadcast(table), "lang").filter(F.rand(SEED) * scale < F.col("least")).select("owner", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

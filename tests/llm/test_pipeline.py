@@ -174,6 +174,42 @@ def test_language_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_shares_against_sets():
+    rng = random.Random(2)
+    letters = ["abcdefghij", "efghijklmn", "klmnopqrst"]
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    have = [set(), set(), set()]
+    for o, a in enumerate(letters):
+        for _ in range(20):
+            have[o].update(language_id.ngrams([text(a)])[0].tolist())
+    keys = np.array([k for s in have for k in sorted(s)], np.uint64)
+    owner = np.repeat(np.arange(3), [len(s) for s in have])
+    sizes = np.array([len(s) for s in have], float)
+    model = language_id.LanguageFilter.of(["x", "y", "z"], keys, owner, sizes[owner] * 10)
+    for a in letters:
+        t = text(a)
+        mine = language_id.ngrams([t])[0].tolist()
+        want = [sum(k in s for k in mine) / len(mine) for s in have]
+        assert np.abs(model.shares([t])[0][0] - want).max() < 0.03
+
+
+def test_language_sample_is_bounded_when_rows_share_an_identifier(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("words of row "), F.col("id")).alias("text"), F.lit("en").alias("lang")).repartition(4)
+    share = language_id.LanguageFilter
+    seen = []
+    class Spy(share):
+        @classmethod
+        def of(cls, languages, keys, owner, counts):
+            seen.append(counts.max())
+            return share.of(languages, keys, owner, counts)
+    language_id.LanguageFilter = Spy
+    try:
+        language_id.fit(df, per_language=500)
+    finally:
+        language_id.LanguageFilter = share
+    assert 300 < seen[0] < 1500  # a row has the n-gram once
+
+
 def test_language_edges(spark):
     rows = [(i, f"the house of words number {i}", "en") for i in range(30)] + [(100 + i, f"das haus der wörter nummer {i}", "de") for i in range(30)]
     odd = [(None, "the words", None), (200, None, "en"), (201, "", "en"), (202, "123 !?", "de"), (203, "日本", None), (204, "the\nhouse", "en"), (204, "the\nhouse", "en")]
