@@ -5,13 +5,14 @@ between two marks, the text is divided at the first, and lengths add up. (Marks
 exchanged for another character that no pattern knows.)
 
 Battery. A candidate is a maximal run of at least ``LEAST`` characters of the base64 alphabets that has a digit
-and a letter. Its encoding is the smallest alphabet that holds all of it. Under the hypothesis that its symbols
+and a letter, or of at least ``LEAST_LETTERS`` without a digit. Its encoding is the smallest alphabet that holds all of it. Under the hypothesis that its symbols
 are uniform and independent there are three p-values: chi-squared over the alphabet, runs above and below the
 middle of the alphabet, and serial correlation at lag one, combined by Fisher's method. Random strings have
-uniform p-values, ordinary ones small p-values. So in each class of encoding and length the share of random
-strings follows from the p-values above ``TAIL``, and with it the share of ordinary ones among those at or above
-any threshold; the lowest threshold at which that false-discovery rate is at most ``rate`` decides. A class is
-known by a histogram of ``BINS`` p-values, combined before any shuffle.
+uniform p-values, ordinary ones small p-values, the smaller the longer they are. So in each class of encoding and length the number of random
+strings follows from the p-values above a bound (``TAILS``, lower for longer strings), and with it the share of ordinary ones among those at or above
+any threshold; the lowest threshold at which that false-discovery rate is at most ``rate`` decides, whether or not a string has
+just that p-value. A class with few strings leans on all lengths of its encoding (as if ``LEAN`` strings more). What has a
+p-value in the lowest bin is never reported. A class is known by a histogram of ``BINS`` p-values, combined before any shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import written
+from lexmill.llm.common import fresh, written
 
 #: Fixed patterns and what a match must have, by kind.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,19 +31,23 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of [0-9a-f] that are long enough
 KINDS = ["assign", "access", "hex", "random"]
 
-LEAST, BINS, TAIL = 16, 100, 0.5
+LEAST, LEAST_LETTERS, BINS, LEAN = 16, 24, 100, 2
 #: With padding only where no further run follows: '=' also divides a name from its value.
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:=+(?![A-Za-z0-9+/_=-]))?"
 LENGTHS = [24, 32, 48, 64, 128]  # bounds of the length classes
+TAILS = [0.5, 0.3, 0.1, 0.05, 0.05, 0.05]  # by length class: ordinary strings hardly ever have a p-value above
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet on; the order of symbols is that of their values.
 ENCODINGS = {
     "hex": DIGITS + LOWER[:6],
     "HEX": DIGITS + UPPER[:6],
+    "lower": LOWER,
+    "upper": UPPER,
     "base32": UPPER + "234567",
     "base36": DIGITS + LOWER,
     "BASE36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
     "base62": UPPER + LOWER + DIGITS,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
@@ -52,10 +57,10 @@ OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (n, m): lengths between marks and the matched strings; the first entry is what lies before."""
+    """Array of (n, m): lengths between marks and the matched strings; the first entry is the length before a first match."""
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
     parts = F.split(marked, OPEN)
-    found = F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), F.substring_index(x, CLOSE, 1).alias("m")))
+    found = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), F.when(i > 0, F.substring_index(x, CLOSE, 1)).alias("m")))
     return F.when(F.size(parts) > 1, found)
 
 
@@ -79,23 +84,23 @@ def both_tails(z: Column) -> Column:
 
 
 def battery(candidates: DataFrame) -> DataFrame:
-    """``candidates`` (column ``m``) with ``encoding``, ``length``, ``p_chi``, ``p_runs``, ``p_serial`` and ``p`` (Fisher)."""
-    body = F.regexp_replace("m", "=+$", "")
+    """``candidates`` (column ``m``) with ``encoding``, ``length``, ``p_chi``, ``p_runs``, ``p_serial`` and ``p`` (Fisher); other columns stay."""
+    names = {x: fresh(candidates, f"_{x}") for x in ("body", "alphabet", "size", "chars", "values")}
+    body, alphabet, chars, values = (F.col(f"`{names[x]}`") for x in ("body", "alphabet", "chars", "values"))
     kinds = [(name, f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$") for name, a in ENCODINGS.items()]
-    encoding = reduce(lambda rest, k: F.when(F.col("s").rlike(k[1]), F.lit(k[0])).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
-    alphabet = reduce(lambda rest, k: F.when(F.col("encoding") == k, F.lit(ENCODINGS[k])).otherwise(rest), ENCODINGS, F.lit(None).cast("string"))
-    out = candidates.withColumn("s", body).withColumn("encoding", encoding).withColumn("alphabet", alphabet)
-    out = out.withColumn("length", F.length("s")).withColumn("k", F.length("alphabet")).withColumn("chars", F.split("s", ""))
-    out = out.withColumn("chars", F.filter("chars", lambda c: c != ""))
-    out = out.withColumn("v", F.transform("chars", lambda c: F.instr(F.col("alphabet"), c).cast("double")))
-    squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, c: a + F.pow((F.col("length") - F.length(F.replace(F.col("s"), c, F.lit("")))).cast("double"), F.lit(2.0)))
-    n, k = F.col("length").cast("double"), F.col("k").cast("double")
+    encoding = reduce(lambda rest, k: F.when(body.rlike(k[1]), F.lit(k[0])).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
+    letters = reduce(lambda rest, k: F.when(F.col("encoding") == k, F.lit(ENCODINGS[k])).otherwise(rest), ENCODINGS, F.lit(None).cast("string"))
+    out = candidates.withColumn(names["body"], F.regexp_replace("m", "=+$", "")).withColumn("encoding", encoding).withColumn(names["alphabet"], letters)
+    out = out.withColumn("length", F.length(body)).withColumn(names["size"], F.length(alphabet)).withColumn(names["chars"], F.filter(F.split(body, ""), lambda c: c != ""))
+    out = out.withColumn(names["values"], F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")))
+    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.col("length") - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
+    n, k = F.col("length").cast("double"), F.col(f"`{names['size']}`").cast("double")
     chi = k / n * squares - n
     out = out.withColumn("p_chi", upper_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))))
-    first, second = F.slice("v", 1, F.col("length") - 1), F.slice("v", 2, F.col("length") - 1)
-    high = lambda x: x > (F.col("k") + 1) / 2
+    first, second = F.slice(values, 1, F.col("length") - 1), F.slice(values, 2, F.col("length") - 1)
+    high = lambda x: x > (k + 1) / 2
     changes = F.size(F.filter(F.zip_with(first, second, lambda x, y: high(x) != high(y)), lambda x: x))
-    n1 = F.size(F.filter("v", high)).cast("double")
+    n1 = F.size(F.filter(values, high)).cast("double")
     n2 = n - n1
     mean = 2 * n1 * n2 / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
@@ -107,18 +112,25 @@ def battery(candidates: DataFrame) -> DataFrame:
     out = out.withColumn("p_serial", both_tails(serial))
     logs = -(F.log(F.greatest("p_chi", F.lit(1e-12))) + F.log(F.greatest("p_runs", F.lit(1e-12))) + F.log(F.greatest("p_serial", F.lit(1e-12))))
     fisher = F.exp(-logs) * (1 + logs + logs * logs / 2)
-    return out.withColumn("p", fisher).drop("s", "alphabet", "k", "chars", "v")
+    return out.withColumn("p", fisher).drop(*names.values())
 
 
 def thresholds(tested: DataFrame, rate: float) -> DataFrame:
-    """``encoding, size_class, least``: the lowest bin at which the false-discovery rate holds, if there is one."""
-    counts = tested.groupBy("encoding", "size_class", "bin").agg(F.count("*").alias("n"))
-    group = W.partitionBy("encoding", "size_class")
-    above = counts.withColumn("at_or_above", F.sum("n").over(group.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)))
-    above = above.withColumn("tail", F.sum(F.when(F.col("bin") >= BINS * TAIL, F.col("n")).otherwise(0)).over(group)).withColumn("all", F.sum("n").over(group))
-    random = F.least(F.col("tail") / (1 - TAIL), F.col("all").cast("double"))
-    false_rate = 1 - random * (1 - F.col("bin") / BINS) / F.col("at_or_above")
-    return above.filter(false_rate <= rate).groupBy("encoding", "size_class").agg(F.min("bin").alias("least"))
+    """``encoding, size_class, least``: the lowest bin, above the first, at which the false-discovery rate holds, if there is one."""
+    group = ["encoding", "size_class"]
+    counts = tested.groupBy(*group, "bin").agg(F.count("*").alias("n"))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), F.col("size_class") + 1)
+    above = F.sum(F.when(F.col("bin") >= F.round(BINS * tail), F.col("n")).otherwise(0) / (1 - tail))
+    # all that follows has a row a class or a bin of one: len(ENCODINGS) * (len(LENGTHS) + 1) * BINS at most
+    classes = counts.groupBy(*group).agg(above.alias("random"), F.sum("n").alias("all"))
+    kind = W.partitionBy("encoding")
+    pooled = F.least(F.sum("random").over(kind) / F.sum("all").over(kind), F.lit(1.0))
+    share = F.least((F.col("random") + LEAN * pooled) / (F.col("all") + LEAN), F.lit(1.0))
+    classes = classes.select(*group, (share * F.col("all")).alias("random"), F.explode(F.sequence(F.lit(1), F.lit(BINS - 1))).alias("bin"))
+    grid = classes.join(counts, [*group, "bin"], "left")
+    found = grid.withColumn("at_or_above", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy(*group).orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)))
+    false_rate = 1 - F.col("random") * (1 - F.col("bin") / BINS) / F.col("at_or_above")
+    return found.filter((F.col("at_or_above") > 0) & (false_rate <= rate)).groupBy(*group).agg(F.min("bin").alias("least"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.1) -> DataFrame:
@@ -135,7 +147,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: floa
     found = spans(rows, "assign").filter(F.length(value) >= 6).withColumn("kind", F.lit(0))
     found = found.unionByName(spans(rows, "access").filter(F.length("m") >= 20).withColumn("kind", F.lit(1)))
     found = found.unionByName(spans(rows, "hex").withColumn("kind", F.lit(2))).select("row", "start", "end", "kind")
-    candidates = spans(rows, "random").filter(F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]"))
+    candidates = spans(rows, "random").filter(F.col("m").rlike("[A-Za-z]") & (F.col("m").rlike("[0-9]") | (F.length("m") >= LEAST_LETTERS)))
     size_class = sum((F.col("length") >= x).cast("int") for x in LENGTHS)
     tested = battery(candidates).withColumn("size_class", size_class).withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int"))
     tested = written(tested.select("row", "start", "end", "encoding", "size_class", "bin").filter("encoding is not null"))

@@ -1,3 +1,4 @@
+import math
 import hashlib
 import random
 import re
@@ -72,3 +73,81 @@ def test_p_values_are_uniform_for_random_strings(spark):
     rows = [("".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(48)),) for _ in range(2000)]
     p = sorted(r.p for r in secrets.battery(common.written(spark.createDataFrame(rows, "m string"))).collect())
     assert all(abs(p[int(q * 2000)] - q) < 0.08 for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+
+
+def plain_battery(m):
+    """p-values of a string by the plain formulas."""
+    body = m.rstrip("=")
+    name, alphabet = next((k, a) for k, a in secrets.ENCODINGS.items() if set(body) <= set(a))
+    n, k = len(body), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    two = lambda z: min(1, 2 * tail(abs(z)))
+    v = [alphabet.index(c) + 1 for c in body]
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    p_chi = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)))
+    high = [x > (k + 1) / 2 for x in v]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    p_runs = two((runs - mean) / math.sqrt(var)) if var > 0 else 1e-12
+    mid = (k + 1) / 2
+    p_serial = two(sum((x - mid) * (y - mid) for x, y in zip(v, v[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
+    logs = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+    return name, n, math.exp(-logs) * (1 + logs + logs * logs / 2)
+
+
+def plain_thresholds(tested, rate=0.1):
+    """The lowest bin of each class, by counting."""
+    out = {}
+    share = lambda some, cls: sum(b >= round(100 * secrets.TAILS[c]) for _, c, b in some if c == cls) / (1 - secrets.TAILS[cls])
+    for e, c in {x[:2] for x in tested}:
+        mine, kind = [x for x in tested if x[:2] == (e, c)], [x for x in tested if x[0] == e]
+        pooled = min(1, sum(share(kind, z) for z in range(6)) / len(kind))
+        random_ = min(1, (share(mine, c) + 2 * pooled) / (len(mine) + 2)) * len(mine)
+        for b in range(1, 100):
+            above = sum(x[2] >= b for x in mine)
+            if above and 1 - random_ * (1 - b / 100) / above <= rate:
+                out[e, c] = b
+                break
+    return out
+
+
+def test_battery_and_thresholds_against_plain_formulas(spark):
+    rng = random.Random(31)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    names = list(secrets.ENCODINGS)
+    texts = [draw(secrets.ENCODINGS[rng.choice(names)], rng.randrange(16, 140)) for _ in range(400)] + [draw("abc", 30) + "1" for _ in range(60)] + ["aaaaaaaaaaaaaaaaaaaaaaa1", "A" * 40, draw(secrets.ENCODINGS["base64"], 43) + "=="]
+    df = spark.createDataFrame([(t, 1, 2, 3) for t in texts], "m string, k long, s long, v long")
+    out = secrets.battery(df)
+    assert out.columns[:4] == ["m", "k", "s", "v"]
+    rows = out.collect()
+    for r in rows:
+        name, n, p = plain_battery(r.m)
+        assert (r.encoding, r.length, r.k, r.s, r.v) == (name, n, 1, 2, 3) and abs(r.p - p) < 0.004, r
+    tested = [(r.encoding, sum(r.length >= x for x in secrets.LENGTHS), min(99, int(r.p * 100))) for r in rows]
+    got = {(r.encoding, r.size_class): r.least for r in secrets.thresholds(spark.createDataFrame(tested, "encoding string, size_class int, bin int"), 0.1).collect()}
+    assert got == plain_thresholds(tested) and got
+
+
+def test_a_single_key_is_found(spark):
+    rng = random.Random(17)
+    letters = secrets.ENCODINGS["base62"]
+    found = {1: 0, 3: 0}
+    plain = "some ordinary text with internationalization and 20240115T123000 and words_of_a_name_1 in it"
+    for count in found:
+        for _ in range(6):
+            keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(count)]
+            df = spark.createDataFrame([(i, f"{plain} {k} end") for i, k in enumerate(keys)] + [(99, plain)], "doc_id long, text string")
+            got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+            found[count] += sum(f"random:{len(plain) + 1}:{len(plain) + 41}" in got[i] for i in range(count))
+            assert "random" not in got[99]
+    assert found[1] >= 4 and found[3] >= 14
+
+
+def test_random_letters_are_candidates(spark):
+    rng = random.Random(23)
+    letters = secrets.ENCODINGS["letters"]
+    rows = [(i, "token value " + "".join(rng.choice(letters) for _ in range(48)) + " end") for i in range(30)] + [(100, "x " * 9 + "internationalizationofeverything")]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("random" in got[i] for i in range(30)) >= 25
