@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.memo import tidied
+
 #: A lookup broadcasts only keys that hold at least this share of all rows, so never more than so many keys.
 MAX_HOT_KEYS = 4096
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -53,7 +56,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Where the session has no value of its own for it, Arrow batches are set to ``ARROW_ROWS`` rows: whole texts make larger ones costly.
+    """
+    if df.sparkSession.conf.get(ARROW, "10000") == "10000":
+        df.sparkSession.conf.set(ARROW, str(ARROW_ROWS))
     path = path or shared_dir(df.sparkSession) + "/table"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -97,7 +105,7 @@ def without(tagged: DataFrame, gone: DataFrame, row: str) -> DataFrame:
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names)
 
-    return tagged.mapInArrow(run, form)
+    return tagged.mapInArrow(tidied(run), form)
 
 
 def _numbers(folder: str) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, fresh, shared_dir, store, texts_of, without, written
-from lexmill.llm.memo import release
+from lexmill.llm.memo import tidied
 
 STEPS, TABLES, SAMPLED, STRIDE = 32, 8, 12, 4
 SEED = 20160619
@@ -360,7 +360,6 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
     files = indexes(items, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         moves, sampled = plan()
         index = loaded(files[0]) if len(files) == 1 else None
         held: list[pa.RecordBatch] = []
@@ -382,7 +381,7 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
                     yield from found()
         yield from found()
 
-    return slim.mapInArrow(run, "row long, doc_id long, item_id long, item_chars long, edits long, end long")
+    return slim.mapInArrow(tidied(run), "row long, doc_id long, item_id long, item_chars long, edits long, end long")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", most_edits: float = 0.2) -> DataFrame:

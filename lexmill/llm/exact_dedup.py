@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import fresh, lookup, texts_of, without, written
+from lexmill.llm.memo import tidied
 
 DIGESTS = "row long, doc_id long, digest binary, probe long, bytes long"
 CHUNKS = "part long, first binary, entries binary"
@@ -53,7 +54,7 @@ def digests(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text
 
     Null text counts as empty. The XXH64 and the length verify what the SHA-256 says.
     """
-    return docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_digest, DIGESTS)
+    return docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidied(_digest), DIGESTS)
 
 
 class Outbox:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, crc_of_id
-from lexmill.llm.memo import release
+from lexmill.llm.memo import tidied
 
 HASHES = 3
 SHARE = 0.1
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: i
                     k, n = np.unique(keys[of == o], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), o, np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["owner", "gram", "n"])
 
-    grams = chosen.mapInArrow(count, "owner int, gram long, n long").groupBy("owner", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
+    grams = chosen.mapInArrow(tidied(count), "owner int, gram long, n long").groupBy("owner", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
     owner, keys, n = (grams.column(c).to_numpy() for c in ("owner", "gram", "n"))
     return LanguageFilter.of(languages, keys.view(U), owner.astype(np.int64), n.astype(np.float64))
 
@@ -151,7 +151,6 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: t
     form = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for whole in batches:
             for batch in batches_of(whole, 2 << 20):
                 share, n = shared.value.shares(batch.column(at).cast(pa.string()).to_pylist())
@@ -165,7 +164,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: t
     at = docs.columns.index(text)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*form.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return docs.mapInArrow(tidied(run), StructType([*form.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(docs: DataFrame, per_language: int = 2000) -> DataFrame:

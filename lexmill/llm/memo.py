@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,23 @@ _HELD: weakref.WeakSet = weakref.WeakSet()
 
 
 def release() -> None:
-    """Empties all memos of this worker, which may have come from an earlier stage."""
+    """Empties all memos of this worker, which may have come from an earlier stage, and gives free memory back to the system."""
     for memo in _HELD:
         memo.known, memo.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker, which Spark keeps for later stages, holds no more memory than before."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return inner
 
 
 class Memo:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, components, fresh, texts_of, without, written
-from lexmill.llm.memo import release
+from lexmill.llm.memo import tidied
 from lexmill.llm.simhash import fingerprints, near_links
 
 BANDS, ROWS = 16, 5
@@ -63,14 +63,13 @@ def bands(docs: DataFrame, row: str, text: str, width: int) -> DataFrame:
     """``key, row``: a row for each band of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for whole in batches:
             for batch in batches_of(whole):
                 found = [(r, band_keys(h)) for r, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) if len(h := shingle_hashes(t, width))]
                 keys = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([r for r, _ in found], np.int64), BANDS))], ["key", "row"])
 
-    return docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "key long, row long")
+    return docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidied(run), "key long, row long")
 
 
 def short(ids: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     wanted = short(written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()))
     texts = texts.join(wanted, "row", "left_semi")
     a, b = (texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def similar_links(docs: DataFrame, row: str, text: str = "text", width: int = 5, least: float = SIMILARITY) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import batches_of, components, fresh, lookup, texts_of, written
-from lexmill.llm.memo import release
+from lexmill.llm.memo import tidied
 
 U = np.uint64
 FANOUT = 16
@@ -56,14 +56,13 @@ def fingerprints(docs: DataFrame, row: str, doc_id: str, text: str, width: int =
     """``row, doc_id, fp`` (the fingerprint's bits as a signed long); null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for whole in batches:
             for batch in batches_of(whole):
                 found = np.array([fingerprint(t, width) for t in texts_of(batch.column(2))], U).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["row", "doc_id", "fp"])
 
     slim = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return slim.mapInArrow(run, "row long, doc_id long, fp long")
+    return slim.mapInArrow(tidied(run), "row long, doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
