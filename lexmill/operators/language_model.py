@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.ordering import lookup
+
 BOS = "\x02"
 BACKOFF = 0.4
 UNSEEN = -20.0
@@ -44,26 +46,32 @@ def describe(ngrams: DataFrame) -> DataFrame:
     return ngrams.agg(F.count_distinct("context").alias("contexts"), F.count(F.when(unigram, 1)).alias("vocabulary"), F.sum(F.when(unigram, F.col("n"))).alias("total_counts"))
 
 
+def answers(asked: DataFrame, ngrams: DataFrame, order: int) -> DataFrame:
+    """``history, ch, n, log_prob`` of asked rows (history, ch, n), by the longest context known; null if the character was never seen."""
+    steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order - 1)), lambda k: F.struct(k.alias("k"), F.substring(F.col("history"), F.lit(order) - k, k).alias("context"))))
+    tried = asked.filter(F.length("history") == order - 1).select("history", "ch", "n", steps.alias("x")).select("history", "ch", F.col("n").alias("rows"), "x.k", "x.context")
+    found = tried.join(with_totals(ngrams), ["context", "ch"])
+    best = found.groupBy("history", "ch").agg(F.max(F.struct("k", F.log(F.col("n") / F.col("total")).alias("lp"))).alias("b"), F.max("rows").alias("rows"))
+    return best.select("history", "ch", "rows", (F.col("b.lp") + (F.lit(order - 1) - F.col("b.k")) * F.log(F.lit(BACKOFF))).alias("log_prob"))
+
+
 def log_probs(at: DataFrame, ngrams: DataFrame, order: int, *keep: str) -> DataFrame:
     """Natural log P(ch | history) of rows with ``history`` and ``ch``, by the longest context known [J15, X18].
 
     Distinct (history, ch) are looked up, one equi-join over all suffixes; a character never seen gets UNSEEN, and
-    every step of backoff costs ln 0.4 (T11).
+    every step of backoff costs ln 0.4 (T11). Frequent n-grams come back by broadcast, all others by shuffle.
     """
-    asked = at.select("history", "ch").distinct()
-    steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order - 1)), lambda k: F.struct(k.alias("k"), F.substring(F.col("history"), F.lit(order) - k, k).alias("context"))))
-    tried = asked.filter(F.length("history") == order - 1).select("history", "ch", steps.alias("x")).select("history", "ch", "x.k", "x.context")
-    found = tried.join(with_totals(ngrams), ["context", "ch"])
-    best = found.groupBy("history", "ch").agg(F.max(F.struct("k", F.log(F.col("n") / F.col("total")).alias("lp"))).alias("b"))
+    asked = at.groupBy("history", "ch").agg(F.count("*").alias("n"))
     penalty = F.log(F.lit(BACKOFF))
-    answers = best.select("history", "ch", (F.col("b.lp") + (F.lit(order - 1) - F.col("b.k")) * penalty).alias("log_prob"))
-    return at.join(answers, ["history", "ch"], "left").withColumn("log_prob", F.coalesce("log_prob", F.lit(UNSEEN) + (order - 1) * penalty))
+    known = answers(asked, ngrams, order)
+    return lookup(at, known, ["history", "ch"], "rows", at.count()).drop("rows").withColumn("log_prob", F.coalesce("log_prob", F.lit(UNSEEN) + (order - 1) * penalty))
 
 
 def scores(lines: DataFrame, ngrams: DataFrame, key: str, line: str = "line", order: int = 6) -> DataFrame:
-    """``key, score, chars`` of each line that isn't empty [X19]."""
-    at = log_probs(positions(lines, line, order, key), ngrams, order)
-    return at.groupBy(key).agg(F.sum("log_prob").alias("score"), F.count("*").alias("chars"))
+    """``key, score, chars`` of each line that isn't empty [X19]; a line's equal n-grams are counted before they are looked up."""
+    at = positions(lines, line, order, key).groupBy(key, "history", "ch").agg(F.count("*").alias("times"))
+    scored = log_probs(at, ngrams, order)
+    return scored.groupBy(key).agg(F.sum(F.col("log_prob") * F.col("times")).alias("score"), F.sum("times").alias("chars"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

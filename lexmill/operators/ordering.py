@@ -14,31 +14,70 @@ def shuffle_key(key: Column | str, seed: int | str = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
-def ranked(df: DataFrame, by: str, *then: str, name: str = "rn", partition: list[str] | None = None) -> DataFrame:
-    """Adds the 0-based rank in the order of ``by`` (a number or an MD5 in hex), then ``then``.
+def _cuts(df: DataFrame, by: str) -> list:
+    return df.agg(F.percentile_approx(by, [i / SLICES for i in range(1, SLICES)], 4 * SLICES).alias("c")).first()["c"] or []
+
+
+def _range_of(cuts: list, by: str) -> Column:
+    """The range of a value: how many of the cuts are below it."""
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+
 
-    Ranges of the first key are ranked each on their own and shifted by the rows of the ranges before,
-    so no task sees all rows. The offsets are a row a range: at most SLICES (4096 for an MD5) a group. With
-    ``partition`` the rank is within each group, which may be as large as the table.
+def _ranges(df: DataFrame, by: str, *then: str) -> Column:
+    """A number that grows with (``by``, ``then``) and divides the rows into ranges of about equal size.
+
+    Where a value of ``by`` holds two ranges or more, its rows are divided by the next key, if that is a number. Null is first.
+    """
+    kinds = dict(df.dtypes)
+    if kinds[by] == "string":
+        return F.coalesce(F.conv(F.substring(by, 1, 3), 16, 10).cast("long"), F.lit(-1))
+    cuts = _cuts(df, by)
+    part = _range_of(cuts, by).cast("long") * (SLICES + 1)
+    heavy = sorted({x for x, y in zip(cuts, cuts[1:]) if x == y})
+    if heavy and then and kinds[then[0]].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        tied = F.col(by).isin(heavy)
+        part = part + F.when(tied, _range_of(_cuts(df.filter(tied), then[0]), then[0]) + F.when(F.col(then[0]).isNull(), 0).otherwise(1)).otherwise(0)
+    return F.coalesce(part, F.lit(-1))
+
+
+def running_total(df: DataFrame, weight: str, by: str, *then: str, name: str = "upto", partition: list[str] | None = None) -> DataFrame:
+    """Adds the sum of ``weight`` up to and with each row, in the order of ``by`` (a number or an MD5 in hex), then ``then``.
+
+    Ranges of the order are summed each on their own and shifted by the sums of the ranges before, so no task
+    sees all rows. The offsets are a row a range. With ``partition`` the sum is within each group, which may be as large as the table.
     """
     group = partition or []
-    if dict(df.dtypes)[by] == "string":
-        part = F.conv(F.substring(by, 1, 3), 16, 10).cast("int")
-    else:
-        cuts = df.agg(F.percentile_approx(by, [i / SLICES for i in range(1, SLICES)], 4 * SLICES).alias("c")).first()["c"] or []
-        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(by))) if cuts else F.lit(0)
-    cut = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = cut.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    cut = df.withColumn("_part", _ranges(df, by, *then))
+    sizes = cut.groupBy(*group, "_part").agg(F.sum(weight).alias("_n"))
     order = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    offsets = offsets if group else F.broadcast(offsets)
-    within = W.partitionBy(*group, "_part").orderBy(by, *then)
+    within = W.partitionBy(*group, "_part").orderBy(by, *then).rowsBetween(W.unboundedPreceding, 0)
+    placed = cut.withColumn("_in", F.sum(weight).over(within))
     if group:
         keys = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
-        joined = cut.withColumn("_in", F.row_number().over(within)).alias("l").join(offsets.alias("r"), _all([*keys, F.col("l._part") == F.col("r._part")]))
-        return joined.select(*(f"l.{c}" for c in df.columns), (F.col("_in") - 1 + F.col("_before")).cast("long").alias(name))
-    joined = cut.withColumn("_in", F.row_number().over(within)).join(offsets, "_part")
-    return joined.select(*df.columns, (F.col("_in") - 1 + F.col("_before")).cast("long").alias(name))
+        joined = placed.alias("l").join(offsets.alias("r"), _all([*keys, F.col("l._part") == F.col("r._part")]))
+        return joined.select(*(f"l.{c}" for c in df.columns), (F.col("_in") + F.col("_before")).alias(name))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+
+
+def ranked(df: DataFrame, by: str, *then: str, name: str = "rn", partition: list[str] | None = None) -> DataFrame:
+    """Adds the 0-based rank in the order of ``by``, then ``then`` (which should tell rows apart), as :func:`running_total` does."""
+    one = running_total(df.withColumn("_one", F.lit(1).cast("long")), "_one", by, *then, name="_upto", partition=partition)
+    return one.select(*df.columns, (F.col("_upto") - 1).cast("long").alias(name))
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row a key) without sending a hot key to one task.
+
+    ``weight`` of ``table`` is the number of rows with the key, ``total`` their sum or more. Keys with at least
+    max(total / 4096, 64) rows are broadcast, so never more than 4096; all others are joined by shuffle.
+    """
+    hot = F.col(weight) >= max(total // 4096, 64)
+    values = [c for c in table.columns if c not in on]
+    marked = rows.join(F.broadcast(table.filter(hot).withColumn("_hot", F.lit(True))), on, "left")
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *values).join(table.filter(~hot), on, "left")
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
 def _all(conditions: list[Column]) -> Column:

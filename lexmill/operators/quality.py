@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.ordering import running_total
 
 #: The median length in frames from which memory is at risk, and the share of characters to keep.
 LONG_CLIP_FRAMES, LEAST_COVERAGE = 1200, 0.97
@@ -23,18 +24,32 @@ def index_percentile(df: DataFrame, value: str, fractions: dict[str, float], by:
     A value's copies are counted first and the counts are ranked, so a group's size is its distinct values.
     The upper of two middles is the median (T1), unlike ``percentile``.
     """
-    from pyspark.sql import Window as W
-
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    order = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    run = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(whole))
+    # a null value counts nothing, but its group is there
+    counts = df.groupBy(*by, value).agg(F.count(value).alias("_c"))
+    run = with_total(running_total(counts, "_c", value, name="_upto", partition=by), by)
     place = lambda f: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(f)))
-    picks = [F.min(F.when(F.col("_upto") > place(f), F.col(value))).alias(name) for name, f in fractions.items()]
+    picks = [F.coalesce(F.min(F.when(F.col("_upto") > place(f), F.col(value))), F.lit(0)).alias(name) for name, f in fractions.items()]
     return run.groupBy(*by).agg(*picks)
 
 
+def with_total(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds the sum ``_n`` of ``_c`` over each group."""
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    if not by:
+        return counts.crossJoin(F.broadcast(sizes))  # one row
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in by])
+    return counts.alias("l").join(sizes.alias("r"), same).select("l.*", "r._n")
+
+
+def exact_median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row: the median, the mean of two middles; null of none. Distinct values are ranked in ranges."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    run = with_total(running_total(counts, "_c", value, name="_upto"), [])
+    middle = lambda k: F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - k) / 2), F.col(value)))
+    return run.agg(((middle(1) + middle(0)) / 2).alias(name))
+
+
 def with_feasibility(df: DataFrame, text: str = "text", seconds: str = "seconds", subsampling: int = 4) -> DataFrame:
     """Adds ``frames``, ``needed`` and ``headroom`` of each utterance [X11, W11, D7]."""
     needed = X.minimum_frames_of(X.spoken(F.col(text)))
@@ -62,15 +77,12 @@ def feasibility_report(df: DataFrame, by: list[str] | None = None, **columns) ->
 
     Infeasible rows count in the headroom figures but not in ``tight``; empty targets count in neither (T2).
     """
-    from pyspark.sql import Window as W
-
     by = by or []
     # one pass over the texts: rows are counted by headroom, and all figures come from the counts
-    counts = with_feasibility(df, **columns).groupBy(*by, "headroom").agg(F.count("*").alias("_c"))
-    known = F.when(F.col("headroom").isNotNull(), F.col("_c")).otherwise(0)
-    order = W.partitionBy(*by).orderBy("headroom").rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumn("_upto", F.sum(known).over(order)).withColumn("_n", F.sum(known).over(W.partitionBy(*by)))
-    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("_c"))), F.lit(0)).alias
+    counts = with_feasibility(df, **columns).groupBy(*by, "headroom").agg(F.count("*").alias("_rows"))
+    counts = counts.withColumn("_c", F.when(F.col("headroom").isNotNull(), F.col("_rows")).otherwise(0))
+    run = with_total(running_total(counts, "_c", "headroom", name="_upto", partition=by), by)
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("_rows"))), F.lit(0)).alias
     at = lambda f: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(f)))
     pick = lambda f: F.coalesce(F.min(F.when(F.col("headroom").isNotNull() & (F.col("_upto") > at(f)), F.col("headroom"))), F.lit(0.0)).alias
     headroom = F.col("headroom")
@@ -91,11 +103,13 @@ def probe(df: DataFrame, text: str = "text", seconds: str = "seconds", digits: b
     kept, gone = F.length(F.regexp_replace(t, alphabet, "")), F.regexp_replace(t, alphabet.replace("[^", "["), "")
     only = lambda keep: F.sum(F.length(F.regexp_replace(gone, f"[^{keep}]", "")))
     missing = F.count(F.when(F.col(audio_missing), 1)) if audio_missing else F.lit(None).cast("long")
-    return df.agg(
+    figures = df.agg(
         F.count("*").alias("rows"), missing.alias("audio_missing"), F.count(F.when(X.folded(F.coalesce(F.col(text), F.lit("")), digits) == "", 1)).alias("empty"), F.sum(kept).alias("kept"), F.sum(F.length(t)).alias("chars"),
         only("0-9").alias("digits_dropped"), only(r"\p{L}\p{N}").alias("letters_dropped"), F.min(F.length(t)).alias("shortest"), F.max(F.length(t)).alias("longest"),
-        F.median(seconds).alias("median_seconds"), (F.avg(seconds) * F.count("*") / 3600).alias("hours"),
+        (F.avg(seconds) * F.count("*") / 3600).alias("hours"),
     )
+    both = figures.crossJoin(F.broadcast(exact_median(df, seconds, "median_seconds")))  # one row each
+    return both.select(*figures.columns[:-1], "median_seconds", "hours")
 
 
 def dropped_characters(df: DataFrame, text: str = "text", top: int = 10) -> DataFrame:

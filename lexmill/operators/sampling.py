@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.operators.ordering import ranked, shuffle_key
+from lexmill.operators.ordering import ranked, running_total, shuffle_key
 
 
 class LeakError(ValueError):
@@ -61,28 +63,43 @@ def square_root_quota(sizes: DataFrame, group: str, count: str, n: int) -> DataF
     total = sizes.agg(F.sum(F.sqrt(count)).alias("w"))
     raw = sizes.crossJoin(F.broadcast(total)).withColumn("raw", n * F.sqrt(count) / F.col("w")).withColumn("base", F.floor("raw"))  # one row
     left = raw.agg((F.lit(n) - F.sum("base")).alias("left"))
-    order = W.orderBy(F.desc(F.round(F.col("raw") - F.col("base"), 9)), group)
-    out = raw.crossJoin(F.broadcast(left)).withColumn("_r", F.row_number().over(order))  # one row
-    return out.select(group, count, (F.col("base") + (F.col("_r") <= F.col("left")).cast("long")).alias("quota"))
+    open_ = raw.crossJoin(F.broadcast(left)).withColumn("_by", -F.round(F.col("raw") - F.col("base"), 9))  # one row
+    out = ranked(open_, "_by", group, name="_r")
+    return out.select(group, count, (F.col("base") + (F.col("_r") < F.col("left")).cast("long")).alias("quota"))
 
 
 def speaker_split(df: DataFrame, speaker: str, dev: float, test: float, seed: int = 0) -> DataFrame:
     """Adds ``split``: whole speakers to test, then dev, then train, in shuffled order [W19, T30].
 
-    A split takes a speaker if it stays within 1.25 of its quota and isn't full. The fold runs over a row a
-    speaker; only counts reach the driver.
+    A split takes a speaker if it stays within 1.25 of its quota and isn't full. Speakers of up to a quarter of the
+    quota always fit while it isn't full, so a running total decides on them; the others are at most 4 / share in
+    number, and only they reach the driver.
     """
-    sizes = df.groupBy(speaker).agg(F.count("*").alias("n")).withColumn("_k", shuffle_key(speaker, seed)).orderBy("_k", speaker)
+    sizes = df.groupBy(speaker).agg(F.count("*").alias("n")).withColumn("_k", shuffle_key(speaker, seed))
     total = df.count()
-    quota, taken, rows = {"test": test * total, "dev": dev * total}, {"test": 0, "dev": 0}, []
-    for r in sizes.toLocalIterator():
-        name = next((k for k in ("test", "dev") if taken[k] + r.n <= quota[k] * 1.25 and taken[k] < quota[k]), "train")
-        if name != "train":
-            taken[name] += r.n
-            rows.append((r[speaker], name))
-    kind = dict(df.dtypes)[speaker]
-    chosen = df.sparkSession.createDataFrame(rows, f"`{speaker}` {kind}, split string")
-    return df.join(chosen, speaker, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    parts = []
+    for name, share in (("test", test), ("dev", dev)):
+        told = _taken(sizes, speaker, share * total)
+        parts.append(told.filter("taken").select(speaker, F.lit(name).alias("split")))
+        sizes = told.filter("not taken").drop("taken")
+    return df.join(parts[0].unionByName(parts[1]), speaker, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def _taken(sizes: DataFrame, speaker: str, quota: float) -> DataFrame:
+    """Adds ``taken`` to speakers (``n`` rows, order ``_k``): whether they enter a split of so many rows."""
+    small = F.col("n") <= quota / 4
+    run = running_total(sizes.withColumn("_w", F.when(small, F.col("n")).otherwise(0)), "_w", "_k", speaker, name="_upto")
+    run = run.withColumn("_before", F.col("_upto") - F.col("_w"))
+    large = run.filter(~small).select(F.col(speaker).alias("who"), "_k", "n", "_before").orderBy("_k", "who").collect() if quota > 0 else []
+    inside, extra = [], 0
+    for r in large:
+        if r["_before"] + extra < quota and r["_before"] + extra + r["n"] <= quota * 1.25:
+            inside.append(r)
+            extra += r["n"]
+    later = [F.when((F.col("_k") > r["_k"]) | ((F.col("_k") == r["_k"]) & (F.col(speaker) > r["who"])), F.lit(r["n"])).otherwise(0) for r in inside]
+    before = reduce(lambda x, y: x + y, later, F.col("_before"))
+    named = reduce(lambda x, y: x | y, [F.col(speaker).eqNullSafe(F.lit(r["who"])) for r in inside], F.lit(False))
+    return run.withColumn("taken", F.when(small, before < quota).otherwise(named)).drop("_w", "_upto", "_before")
 
 
 def treatments(df: DataFrame, key: str, scratch: int, seed: int = 0) -> DataFrame:

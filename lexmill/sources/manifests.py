@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import AUDIO_COLUMNS, TEXT_COLUMNS
+from lexmill.operators.ordering import running_total
 
 
 class SourceError(ValueError):
@@ -120,12 +121,16 @@ def audio_bytes(df: DataFrame, audio: str = "audio", by_path: DataFrame | None =
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of ``token TAG`` lines with blank lines between them [S20, D25].
 
-    A file is divided at blank lines by the reader, so a sentence is a row whatever the file's size.
+    Lines end in any way, and a line of white space is blank. A sentence's number is the running count of blank
+    lines in its file, so a file is read in as many splits as it has.
     """
-    rows = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    tokens = F.transform(lines, lambda x: F.split(F.trim(x), r"\s+")[0])
-    return rows.select(F.array_join(tokens, " ").alias("line")).filter("line <> ''")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")]
+    rows = spark.read.text(path).select(*place, F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    rows = rows.withColumn("blank", (F.col("line") == "").cast("long"))
+    told = running_total(rows, "blank", "block", "n", name="sentence", partition=["file"]).filter("blank = 0")
+    word = F.struct("block", "n", F.split("line", r"\s+")[0].alias("token"))
+    found = told.groupBy("file", "sentence").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    return found.select(F.array_join(F.transform("words", lambda x: x["token"]), " ").alias("line"))
 
 
 def labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
