@@ -134,6 +134,11 @@ def transcript_line(speaker: Column, text: Column, start: Column | None = None,
     return F.concat(F.lit("["), timestamp(start), F.lit(" - "), timestamp(end), F.lit("] "), speaker, F.lit(": "), text)
 
 
+def rounded(fields: dict[str, int]) -> list[Column]:
+    """Columns by name to so many digits, halves to even [X16, T8]: seconds of segments and turns, scores of utterances."""
+    return [F.bround(F.col(name), digits).alias(name) for name, digits in fields.items()]
+
+
 def chars_per_second(text: Column, seconds: Column) -> Column:
     """[X26]; 0 for no time."""
     return F.when(seconds > 0, F.length(text) / seconds).otherwise(0.0)

@@ -107,3 +107,66 @@ def removal_plan(runs: DataFrame, protected: DataFrame, keep: DataFrame) -> Data
     held = protected.select("run_id").union(keep.select("run_id")).distinct()
     reason = F.when(F.col("run_id").rlike(DISPOSABLE), "disposable").when(F.col("status") != "finished", "unfinished")
     return runs.join(held, "run_id", "left_anti").withColumn("reason", reason).filter("reason is not null").select("run_id", "reason", "bytes")
+
+
+EVENTS = "arch string, event string, version string, score double, at long"
+
+
+def events(spark, folder: str) -> DataFrame:
+    """The history of a registry kept as a folder of Parquet files, a row an event; empty where there is none yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(EVENTS).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], EVENTS)
+
+
+def _entered(spark, folder: str, arch: str, event: str, version: str, score: float | None, at: int) -> None:
+    spark.createDataFrame([(arch, event, version, score, at)], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _of(spark, folder: str, arch: str) -> tuple[list, str | None, list[str]]:
+    """Events of an architecture in order (a model family has few), its current version and the promotions that hold."""
+    rows = events(spark, folder).filter(F.col("arch") == arch).orderBy("at").collect()
+    published = {r.version for r in rows if r.event == "publish"}
+    current, history = fold_history([(r.event, r.version if r.event == "promote" else None) for r in rows if r.event != "publish"], published)
+    return rows, current, history
+
+
+def publish(spark, folder: str, arch: str, score: float | None = None) -> str:
+    """Enters the next version [W21] and promotes it if it is the first or beats all scores before [W22]; returns its name."""
+    rows, current, _ = _of(spark, folder, arch)
+    before = [r for r in rows if r.event == "publish"]
+    version = f"v{1 + max((int(r.version[1:]) for r in before), default=0):03d}"
+    at = rows[-1]["at"] + 1 if rows else 0
+    _entered(spark, folder, arch, "publish", version, score, at)
+    known = [r.score for r in before if r.score is not None]
+    if not before or score is not None and (not known or score < min(known)):
+        _entered(spark, folder, arch, "promote", version, None, at + 1)
+    return version
+
+
+def promote(spark, folder: str, arch: str, version: str) -> None:
+    """Serves a published version; an unknown one is an error."""
+    rows, _, _ = _of(spark, folder, arch)
+    if version not in {r.version for r in rows if r.event == "publish"}:
+        raise LookupError(f"{arch} has no version {version!r}")
+    _entered(spark, folder, arch, "promote", version, None, rows[-1]["at"] + 1)
+
+
+def rollback(spark, folder: str, arch: str) -> str:
+    """Serves the version promoted before [W23, T23]; an error if there is none."""
+    rows, _, history = _of(spark, folder, arch)
+    published = {r.version for r in rows if r.event == "publish"}
+    target = next((v for v in reversed(history[:-1]) if v in published), None)
+    if target is None:
+        raise LookupError(f"{arch} has no earlier promoted version")
+    _entered(spark, folder, arch, "rollback", target, None, rows[-1]["at"] + 1)
+    return target
+
+
+def shown(spark, folder: str, arch: str) -> dict:
+    """Current version, promotions that hold and all versions with their scores."""
+    rows, current, history = _of(spark, folder, arch)
+    return {"arch": arch, "current": current, "history": history, "versions": {r.version: r.score for r in rows if r.event == "publish"}}

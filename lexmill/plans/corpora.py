@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import clusters, quality, registry, sampling
+from lexmill.operators import clusters, quality, registry, sampling, search
 from lexmill.plans.base import query, read
+from lexmill.sources import manifests
 
 
 @query("""
@@ -117,23 +118,42 @@ def gold_join(spark, d):
 
 @query("SELECT b.item_id, count(DISTINCT d.doc_id) AS leaks FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def reference_leaks(spark, d):
-    """Exact containment, as each item's first 16 characters in a shared shingle index, then the whole"""
-    items = read(spark, d, "benchmark").filter("text is not null")
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    key = lambda c: F.xxhash64(F.substring(c, 1, 16))
-    # the items' keys are a row an item; a document meets an item only at places with the item's beginning
-    keys = items.select("item_id", F.col("text").alias("item"), key(F.col("text")).alias("k"))
-    begins = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{16}))"), F.lit(1)), lambda s: F.xxhash64(s)))
-    known = F.broadcast(keys.select("k").distinct()) if keys.count() <= 100_000 else keys.select("k").distinct()
-    hits = docs.select("doc_id", F.explode(begins).alias("k")).join(known, "k", "left_semi").join(keys, "k").select("doc_id", "item_id", "item")
-    hits = hits.filter(F.length("item") >= 16).join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    # shorter items have no whole shingle: their distinct texts are looked for in every document
-    short = items.filter(F.length("text") < 16).select("item_id", F.col("text").alias("item"))
-    held = docs.join(short.select("item").distinct(), F.contains("text", "item")).select("doc_id", "item")
-    found = hits.unionByName(held.join(short, "item").select("doc_id", "item_id")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("leaks"))
+    """Exact containment, all items at once in a single pass over the texts"""
+    items = read(spark, d, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("item"))
+    hits = search.contained(read(spark, d, "documents").select("doc_id", "text"), items.select("item").distinct(), "doc_id", "text", "item")
+    found = hits.join(items, "item").groupBy("item_id").agg(F.count_distinct("doc_id").alias("leaks"))
     return items.select("item_id").join(found, "item_id", "left").na.fill(0, ["leaks"])
 
 
+@query("SELECT w AS doc_id, CASE WHEN doc_id IS NULL THEN 'no such row' WHEN text IS NULL THEN 'no audio' END AS error, n_chars FROM (SELECT unnest([3, 17, -5, 0])::BIGINT AS w) LEFT JOIN documents ON doc_id = w")
+def random_access(spark, d):
+    """Rows by number; one that isn't there is an error row"""
+    return manifests.rows_at(read(spark, d, "documents"), "doc_id", [3, 17, -5, 0, 3], "text").select("doc_id", "error", "n_chars")
+
+
+@query("SELECT doc_id, 'text' AS text_column, text FROM documents ORDER BY doc_id LIMIT 3")
+def corpus_preview(spark, d):
+    """The first rows, whose number is the feature"""
+    return manifests.preview(read(spark, d, "documents"), "doc_id")
+
+
+@query("SELECT n_nationkey + 2 AS row_no, trim(n_name) AS \"Name\", n_regionkey::VARCHAR AS region FROM nation")
+def sheet_by_header(spark, d):
+    """A title, a header in another order and case, then rows"""
+    n = read(spark, d, "nation")
+    text = lambda c: F.col(c).cast("string")
+    rows = n.select((F.col("n_nationkey") + 2).alias("row_no"), F.array(text("n_regionkey"), F.lit(None).cast("string"), F.concat(text("n_name"), F.lit(" "))).alias("cells"))
+    head = spark.createDataFrame([(0, ["Nations of the world"]), (1, [" Region", "note", "NAME "])], "row_no long, cells array<string>")
+    return manifests.sheet(head.unionByName(rows), ["Name", "region"])
+
+
+@query("SELECT event_id, round_even(value, 2) AS start_s, round_even(value / 3, 3) AS score FROM events")
+def rounded_fields(spark, d):
+    """X16, T8"""
+    e = read(spark, d, "events").select("event_id", F.col("value").alias("start_s"), (F.col("value") / 3).alias("score"))
+    return e.select("event_id", *X.rounded({"start_s": 2, "score": 3}))
+
+
 @query("""
     SELECT k, count(*) AS n FROM (SELECT 'minus' AS k, source FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'zz') UNION ALL SELECT 'keep', x FROM (SELECT source AS x FROM documents WHERE lang = 'de' UNION SELECT source FROM documents WHERE lang = 'fr') UNION ALL SELECT 'bag', lang FROM documents) GROUP BY k""")
 def set_operations(spark, d):

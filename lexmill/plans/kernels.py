@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lexmill.operators import clusters, kernels, sampling
+from lexmill.operators import language_model as lm
 from lexmill.operators.ordering import shuffle_key
 from lexmill.plans.base import query, read, turns
 
@@ -56,6 +57,20 @@ def beam_decoding(spark, d):
     return read(spark, d, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "utt long, text string, greedy string")
 
 
+@query()
+def fused_decoding(spark, d):
+    """Width 25 and an LM of order 3 over the names of nations, which are few"""
+    lines = read(spark, d, "nation").select(F.lower("n_name").alias("line"))
+    rows = [tuple(r) for r in lm.pruned(lm.counts(lines, order=3), 1).select("context", "ch", "n").collect()]
+    model, symbols = kernels.Backoff(rows, 3), dict(enumerate("abcde"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        decode = kernels.decoder("beam+lm", symbols, _LABELS - 1, model, width=25, alpha=0.5, beta=0.5)
+        return pd.DataFrame({"utt": [pdf["user_id"].iloc[0]], "text": [decode(_posteriors(pdf))]})
+
+    return read(spark, d, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "utt long, text string")
+
+
 @query()
 def embedding_clusters(spark, d):
     """K7: a recording is 50 neighbouring vectors"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import intervals, language_model as lm, ordering
+from lexmill.operators import intervals, language_model as lm, ordering, quality
 from lexmill.plans.base import TURNS, query, read, sql_spoken, turns
 
 _PAIRS = f"""
@@ -67,7 +67,7 @@ def threshold_bands(spark, d):
     bands = F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 250, 500, 750, 990)))).alias("least")
     ok = F.col("score") >= F.col("least")
     out = p.select("score", "edits", "n", bands).groupBy("least").agg(F.count(F.when(ok, 1)).alias("kept"), F.sum(F.when(ok, F.col("edits"))).alias("edits"), F.sum(F.when(ok, F.col("n"))).alias("chars"), (F.count(F.when(ok, 1)) >= 20).alias("measured"), F.count("*").alias("total"))
-    mid = p.agg(F.round(F.median("score") * 2).cast("long").alias("double_median"))  # one row
+    mid = quality.exact_median(p, "score", "mid").select(F.round(F.col("mid") * 2).cast("long").alias("double_median"))  # one row
     return out.crossJoin(F.broadcast(mid))
 
 

@@ -118,6 +118,42 @@ def audio_bytes(df: DataFrame, audio: str = "audio", by_path: DataFrame | None =
     return inline.join(table, inline[f"{audio}.path"] == table["_path"], "left").withColumn("content", F.coalesce("_inline", "_file")).drop("_inline", "_file", "_path")
 
 
+def rows_at(df: DataFrame, key: str, wanted: list, content: str = "content") -> DataFrame:
+    """The rows with the wanted keys [S6], with ``error``: why a wanted row can't be used, null if it can.
+
+    A key that isn't there gives a row of nulls, a row without content says so; neither ends the run. The keys
+    are a literal list, pushed to the scan as a filter.
+    """
+    kind = dict(df.dtypes)[key]
+    keys = list(dict.fromkeys(wanted))
+    asked = df.sparkSession.createDataFrame([(k,) for k in keys], f"`_wanted` {kind}")
+    found = F.broadcast(asked).join(df.filter(F.col(key).isin(keys)), F.col("_wanted") == F.col(key), "left")
+    error = F.when(F.col(key).isNull(), "no such row").when(F.col(content).isNull(), "no audio")
+    return found.withColumn("error", error).withColumn(key, F.col("_wanted")).drop("_wanted")
+
+
+def preview(df: DataFrame, order: str, n: int = 3, text: str | None = None) -> DataFrame:
+    """The text column and the first ``n`` rows of it [S30]; their number is the feature."""
+    name = column_for(df, "text", TEXT_COLUMNS, text)
+    return df.select(order, F.lit(name).alias("text_column"), F.col(f"`{name}`").alias("text")).orderBy(order).limit(n)
+
+
+def sheet(cells: DataFrame, wanted: list[str], row: str = "row_no", values: str = "cells") -> DataFrame:
+    """Columns by header name from a sheet given as rows of cells [S25]: the first row that has all names is the header.
+
+    Names are compared without case and outer blanks; rows before the header and blank rows go; a sheet without such a row is an error.
+    """
+    clean = F.transform(values, lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    names = [w.strip().lower() for w in wanted]
+    found = cells.filter(F.size(F.array_intersect(clean, F.array(*map(F.lit, names)))) == len(set(names))).agg(F.min(F.struct(F.col(row).alias("at"), clean.alias("header"))).alias("x")).first()["x"]
+    if found is None:
+        raise SourceError(f"no row of the sheet has all of {wanted}")
+    at = {name: list(found["header"]).index(name) for name in names}
+    out = cells.filter(F.col(row) > found["at"]).select(row, *(F.trim(F.get(F.col(values), at[n])).alias(w) for w, n in zip(wanted, names)))
+    blank = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"`{w}`"), F.lit("")) == "" for w in wanted])
+    return out.filter(~blank)
+
+
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of ``token TAG`` lines with blank lines between them [S20, D25].
 
