@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import batches_of
 from lexmill.llm.memo import Memo, divided, gathered
 
-MAX_CHUNKS, MAX_WORDS = 250_000, 800_000
+MAX_CHUNKS, MAX_WORDS = 120_000, 400_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
 ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")  # white space to some, not to others
