@@ -19,7 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -190,12 +190,17 @@ class Reader:
 
 @dataclass
 class Shards:
-    """The written shards in identifier order: (path, entries, ids, ids in shards before)."""
+    """The written shards in identifier order: (path, entries, ids, ids in shards before), the number of each, and the bounds between them."""
 
     files: list[tuple[str, int, int, int]]
+    numbers: list[int] = field(default_factory=list)
+    bounds: list[int] = field(default_factory=list)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
-        return [ids for path, *_ in self.files for ids in Reader(path).get(doc_id)]
+        """The ids of every row with this identifier, from the one shard whose range has it."""
+        number = 0 if doc_id is None else bisect.bisect_left(self.bounds, doc_id)
+        at = bisect.bisect_left(self.numbers, number)
+        return Reader(self.files[at][0]).get(doc_id) if at < len(self.numbers) and self.numbers[at] == number else []
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = 8192, folder: str | None = None) -> Shards:
@@ -204,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 0, doc_id
     Null text is empty; ``end_id`` ends every document. Null identifiers come first; rows with one
     identifier are told apart by an ordinal (ordered by their ids). An empty table gives no files. Ranges come from approximate quantiles of
     the identifier column alone; there are at most MAX_SHARDS of them, and a shard is streamed, so its
-    size is no bound on memory. A file gets its name only when complete, so a task may run again.
+    size is no bound on memory; all rows of one identifier are in one shard. A file gets its name only when complete, so a task may run again.
     The manifest has a row a shard.
     """
     spark = docs.sparkSession
@@ -263,7 +268,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 0, doc_id
     for _, path, entries, ids in made:
         out.append((path, entries, ids, before))
         before += ids
-    return Shards(out)
+    return Shards(out, [number for number, *_ in made], bounds)
 
 
 def read_shards(spark: SparkSession, shards: Shards) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import fresh, lookup, shared_dir, store, texts_of, written
 
 CHUNK = 1 << 18
+MAX_TASKS = 1 << 13
 DATE = "1970-01-01T00:00:00Z"  # pages have no time of their own
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY = ["digest", "probe", "bytes"]
@@ -212,7 +213,8 @@ def write_archives(pages: DataFrame, row: str, folder: str, page_id: str = "page
     these = slim.select(file, "row", F.lit(True).alias("is_page"), "page_id", "url", none("long").alias("bytes"), none("long").alias("to_page"), none("long").alias("to_row"), none("binary").alias("digest"), "html")
     those = marks.select(file, "row", F.lit(False).alias("is_page"), none("long").alias("page_id"), none("string").alias("url"), "bytes", "to_page", "to_row", "digest", none("string").alias("html"))
     rows = these.unionByName(those)
-    return rows.repartitionById(files_, "file").sortWithinPartitions("file", "row", "is_page").mapInArrow(write, "path string, records long")
+    tasks = min(files_, MAX_TASKS)  # a task writes its files one after the other
+    return rows.repartitionById(tasks, F.pmod("file", F.lit(tasks))).sortWithinPartitions("file", "row", "is_page").mapInArrow(write, "path string, records long")
 
 
 def normalised(spark: SparkSession, archives: DataFrame) -> DataFrame:
@@ -263,7 +265,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Writes, normalises and reads back ``pages``: one row a page, from the archives.
 
-    Handles null in any column, empty and repeated pages and an empty table; other columns are ignored.
+    Handles null in any column, empty and repeated pages and an empty table; other columns are ignored. ``pages`` is read
+    twice and must give its rows in the same order both times, as a table does.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark) + "/warc"
