@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import batches_of
 from lexmill.llm.memo import Memo, divided, gathered
 
-MAX_CHUNKS, MAX_WORDS = 120_000, 400_000
+MAX_CHUNKS, MAX_WORDS = 40_000, 200_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
 ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")  # white space to some, not to others
@@ -213,7 +213,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         model = word_bpe(tokenizer)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for whole in batches:
-            for batch in batches_of(whole, 4 << 20):
+            for batch in batches_of(whole, 1 << 20):
                 coded = model.encode(batch.column(1).to_pylist())
                 decoded = [model.decode(np.frombuffer(x, "<u4")) for x in coded]
                 cols = [batch.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(map(sha, coded), pa.string()), pa.array(map(sha, decoded), pa.string())]

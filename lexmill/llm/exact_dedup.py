@@ -170,7 +170,14 @@ def merged(chunks: Iterator[tuple[bytes, bytes]], largest: bool) -> Iterator[tup
 
 
 def merge_runs(batches: Iterator[pa.RecordBatch], parts: int, radix: int, turn: int, largest: bool) -> Iterator[pa.RecordBatch]:
-    """A level of the tree: the runs that met in each partition become one, passed on for the next exchange."""
+    """A level of the tree: the runs that met in each partition become one, passed on for the next exchange; after the last, its entries."""
+    if turn < 0:
+        yield from finished(merge_level(batches, parts, radix, turn, largest))
+    else:
+        yield from merge_level(batches, parts, radix, turn, largest)
+
+
+def merge_level(batches: Iterator[pa.RecordBatch], parts: int, radix: int, turn: int, largest: bool) -> Iterator[pa.RecordBatch]:
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
     for part, group in itertools.groupby(rows, key=lambda row: row[0]):
         box = Outbox(parts, radix, turn)
@@ -214,8 +221,8 @@ def classes(table: DataFrame, keep: str = "smallest", partitions: int | None = N
     runs = table.select("row", "doc_id", *KEY).mapInArrow(lambda it: first_runs(it, parts, radix, turns[0], largest), CHUNKS)
     for turn in turns[1:]:
         met = runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "first")
-        runs = met.mapInArrow(lambda it, turn=turn: merge_runs(it, parts, radix, turn, largest), CHUNKS)
-    return runs.mapInArrow(finished, RUNS)
+        runs = met.mapInArrow(lambda it, turn=turn: merge_runs(it, parts, radix, turn, largest), RUNS if turn < 0 else CHUNKS)
+    return runs
 
 
 def marked(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
