@@ -3,7 +3,8 @@
 A document has ``BANDS`` x ``ROWS`` minima over the hashes of its ``width``-word shingles; documents that agree on
 all minima of a band share a bucket. There each is first compared with the bucket's smallest row. What is
 linked then is one component, and all pairs of a bucket that lie in different components follow, so a bucket of
-like documents costs one comparison a member and no pair is left out. Every link is verified by the exact
+like documents costs one comparison a member and no pair is left out. Large buckets are compared in blocks that
+give links only, so what leaves a task doesn't grow with the square of a group. Every link is verified by the exact
 Jaccard similarity of the shingles. A pair at a similarity of 0.8 shares a bucket with a probability of 0.998.
 
 Documents whose SimHash fingerprints differ in at most ``distance`` bits are linked as well.
@@ -26,6 +27,8 @@ from lexmill.llm.simhash import fingerprints, near_links
 BANDS, ROWS = 16, 5
 SIMILARITY = 0.8
 AT_ONCE = 4096
+#: A bucket with at least so many comparisons left is compared in blocks of so many rows or bytes.
+WORK, BLOCK, BLOCK_BYTES = 64, 512, 1 << 20
 #: Rows are marked by a broadcast of at most so many 8-byte ids, else by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -105,14 +108,54 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", width: int = 5,
     heads = keyed.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1")
     held = written(keyed.join(heads, "key"))
     first = written(verified(held.filter("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct(), texts, width, least))
-    # what is linked already needs no further pair
-    named = held.filter("n > 2").join(components(first).withColumnRenamed("node", "row"), "row", "left").select("key", "row", "head", F.coalesce("component", "row").alias("component"))
-    named = written(named)
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = written(named.filter("row <> head").join(mixed, "key", "left_semi"))
-    one, two = (open_.select("key", F.col("row").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return first.unionByName(verified(rest, texts, width, least))
+    # what is linked already needs no further pair: rows outside the head's component meet all of other components
+    linked = components(first)
+    named = held.filter("n > 2").join(linked.withColumnRenamed("node", "row"), "row", "left").join(linked.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
+    named = written(named.filter("row <> head").select("key", "row", F.coalesce("component", "row").alias("component"), F.coalesce("main", "head").alias("main")).withColumn("outer", (F.col("component") != F.col("main")).cast("long")))
+    sizes = named.join(texts.select("row", F.octet_length("text").alias("size")), "row").groupBy("key").agg(F.sum("outer").alias("n_outer"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n_outer > 0 and n > 1")
+    open_ = written(named.drop("main").join(sizes, "key"))
+    small = open_.filter(F.col("n_outer") * F.col("n") < WORK)
+    x, y = small.filter("outer = 1").alias("x"), small.alias("y")
+    differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.outer") == 0) | (F.col("x.row") < F.col("y.row")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & differ).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    return first.unionByName(verified(rest, texts, width, least)).unionByName(block_links(open_.filter(F.col("n_outer") * F.col("n") >= WORK), texts, width, least))
+
+
+def block_links(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) in large buckets: blocks of outer rows meet blocks of the bucket, a task each, and only links leave it."""
+
+    def links(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        names, component, outer, guest = (group[c].to_pylist() for c in ("row", "component", "outer", "guest"))
+        all_ = [k for k, g in enumerate(guest) if not g]
+        near = [k for k, g in enumerate(guest) if g] if i != j else [k for k in all_ if outer[k]]
+        sets = [set(shingle_hashes(t, width).tolist()) for t in texts_of(group["text"].combine_chunks())] if near and all_ else []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        found = []
+        for p in near:
+            for q in all_:
+                one, two = find(component[p]), find(component[q])
+                if one == two or min(len(sets[p]), len(sets[q])) < least * max(len(sets[p]), len(sets[q])):
+                    continue
+                common = len(sets[p] & sets[q])
+                if common >= least * (len(sets[p]) + len(sets[q]) - common):
+                    root[max(one, two)] = min(one, two)
+                    found.append((names[p], names[q]))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    large = rows.join(texts, "row").select("key", "row", "component", "outer", "text", blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("own"))
+    every = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = ["row", "component", "outer", "text"]
+    guests = every.filter("outer = 1 and other <> own").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("guest"), *rest)
+    own = every.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("guest"), *rest)
+    return guests.unionByName(own).groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILARITY, distance: int = 2) -> DataFrame:
