@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, components, fresh, texts_of, without, written
+from lexmill.llm.common import batches_of, components, fresh, texts_of, tidy, without, written
 from lexmill.llm.memo import tidied
 from lexmill.llm.simhash import fingerprints, near_links
 
@@ -96,7 +96,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 
     pairs = written(pairs)
     wanted = short(written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()))
-    texts = texts.join(wanted, "row", "left_semi")
+    # texts go by shuffle at any size, as they do where they are many
+    texts = texts.join(wanted, "row", "left_semi").hint("merge")
     a, b = (texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
@@ -107,18 +108,25 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", width: int = 5,
     keyed = written(bands(docs, row, text, width))
     heads = keyed.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1")
     held = written(keyed.join(heads, "key"))
+    tidy(docs.sparkSession)
     first = written(verified(held.filter("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct(), texts, width, least))
+    tidy(docs.sparkSession)
     # what is linked already needs no further pair: rows outside the head's component meet all of other components
     linked = components(first)
     named = held.filter("n > 2").join(linked.withColumnRenamed("node", "row"), "row", "left").join(linked.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
     named = written(named.filter("row <> head").select("key", "row", F.coalesce("component", "row").alias("component"), F.coalesce("main", "head").alias("main")).withColumn("outer", (F.col("component") != F.col("main")).cast("long")))
     sizes = named.join(texts.select("row", F.octet_length("text").alias("size")), "row").groupBy("key").agg(F.sum("outer").alias("n_outer"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n_outer > 0 and n > 1")
     open_ = written(named.drop("main").join(sizes, "key"))
+    tidy(docs.sparkSession)
     small = open_.filter(F.col("n_outer") * F.col("n") < WORK)
     x, y = small.filter("outer = 1").alias("x"), small.alias("y")
     differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.outer") == 0) | (F.col("x.row") < F.col("y.row")))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & differ).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    return first.unionByName(verified(rest, texts, width, least)).unionByName(block_links(open_.filter(F.col("n_outer") * F.col("n") >= WORK), texts, width, least))
+    more = written(verified(rest, texts, width, least))
+    tidy(docs.sparkSession)
+    blocks = written(block_links(open_.filter(F.col("n_outer") * F.col("n") >= WORK), texts, width, least))
+    tidy(docs.sparkSession)
+    return first.unionByName(more).unionByName(blocks)
 
 
 def block_links(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -150,7 +158,7 @@ def block_links(rows: DataFrame, texts: DataFrame, width: int, least: float) ->
         return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    large = rows.join(texts, "row").select("key", "row", "component", "outer", "text", blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("own"))
+    large = rows.join(texts.hint("merge"), "row").select("key", "row", "component", "outer", "text", blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("own"))
     every = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = ["row", "component", "outer", "text"]
     guests = every.filter("outer = 1 and other <> own").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("guest"), *rest)
