@@ -48,6 +48,18 @@ def best(versions: DataFrame, score: str, version: str, by: list[str] | None = N
     return versions.filter(F.col(score).isNotNull()).groupBy(*(by or [])).agg(F.min_by(version, F.struct(score, version)).alias("best"))
 
 
+def epochs(rows: DataFrame, run: str, epoch: str, score: str, *order: str) -> DataFrame:
+    """``run, best_epoch, mean, logged``: the epoch of the least score (the first of equals), the mean score and the number of even epochs [A37, A38, W30].
+
+    The mean adds up in the order of ``order``, which tells rows apart: partial sums differ in the last digit with the partitions.
+    """
+    upto = W.partitionBy(run).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.withColumn("_sum", F.sum(score).over(upto)).withColumn("_n", F.count("*").over(upto))
+    least = F.when(F.col(epoch).isNotNull(), F.struct(F.col(score).isNull(), F.col(score), F.col(epoch)))
+    mean = F.max_by("_sum", "_n") / F.count(score)
+    return summed.groupBy(run).agg(F.min_by(epoch, least).alias("best_epoch"), F.when(F.count(score) > 0, mean).alias("mean"), F.count(F.when(F.col(epoch) % 2 == 0, 1)).alias("logged"))
+
+
 def resolve(current: DataFrame, versions: DataFrame, arch: str, score: str, version: str) -> DataFrame:
     """One row: the promoted version of the first architecture in name order, else the best [W25, T24]."""
     promoted = current.filter("current is not null").agg(F.min_by("current", arch).alias("p"))

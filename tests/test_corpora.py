@@ -79,6 +79,34 @@ def test_registry(spark):
     assert [(r.run_id, r.file) for r in dup.collect()] == [("r1", "best.pt")]
 
 
+def test_best_epochs_sum_in_file_order(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from lexmill.plans import QUERIES, SQL
+
+    r = random.Random(4)
+    rows = [(run, epoch, r.randrange(90_000, 10_000_000) / 100) for run in range(6000) for epoch in (1, 2, 3, 4, 5, 6)] + [(6000, 1, None), (6000, 2, 5.0), (6001, 1, None), (6002, None, 1.0), (6002, 2, 5.0)]
+    r.shuffle(rows)
+    path = f"{tmp_path}/lineitem.parquet"
+    for i in range(0, len(rows), 6000):
+        part = spark.createDataFrame(rows[i : i + 6000], "l_orderkey long, l_linenumber int, l_extendedprice double")
+        part.coalesce(1).write.parquet(f"{tmp_path}/some/part={i:06d}")
+    c = duckdb.connect()
+    c.sql("set threads = 1")
+    c.sql(f"copy (select l_orderkey, l_linenumber, l_extendedprice from '{tmp_path}/some/*/*.parquet') to '{path}' (row_group_size 4096)")
+    c.sql(f"create view lineitem as select * from '{path}'")
+    want = sorted(map(repr, c.sql(SQL["best_epochs"]).fetchall()))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = [tuple(x) for x in QUERIES["best_epochs"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(map(repr, got)) == want
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Path, Sentence ,other\na.wav,hello,1\nb.wav,,2\n")
     m = manifests.manifest(spark, str(tmp_path / "a.csv"))
