@@ -8,12 +8,13 @@ its partition by bucket, a bucket's runs meet in one task, which merges them and
 bucket's segment of the filter. All n-grams enter it, whatever their count.
 
 Model: P(w | h) = m P2(w | h) + (1 - m) P1(w), with P2 the ratio of counts and P1 add-``ADD`` smoothed, both from
-the filter. m depends on the order of magnitude of h's count and is set by leave-one-out likelihood.
+the filter. m depends on the order of magnitude of h's count and is set by leave-one-out likelihood over all tokens of all
+training texts: these are counted by the levels of word, history and bigram, and each such triple is weighed once.
 
-Broadcast: a filter of at most ``max_filter_bytes``, and the counts of at most ``MAX_FREQUENT`` tokens that are frequent in all texts,
-held out or not. Exact counts of all other tokens come by a join. A larger filter, which grows with the n-grams, stays in its
-segments: the distinct n-grams of each batch of texts go to their buckets by a shuffle, and a byte comes back for
-each, so scores are the same in both ways.
+The filter, which grows with the n-grams, stays in its segments: the distinct n-grams of each batch of texts go to their buckets by a
+shuffle, and a byte comes back for each. Each token's levels are written, so weights and scores need one probe. A caller may
+allow a broadcast of a filter of at most ``max_filter_bytes``; scores are the same. The counts of at most ``MAX_FREQUENT`` tokens that are
+frequent in all texts, held out or not, are broadcast; exact counts of all other tokens come by a join.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,10 +40,10 @@ BASE, ADD = 1.2, 0.1
 BITS_PER_ENTRY, HASHES = 12, 4
 MAX_FREQUENT = 1 << 18
 BUCKET_TOKENS, MAX_BUCKETS = 1 << 22, 1 << 14  # tokens of all texts a bucket of n-grams
-SEED = 20070628  # of the tuning sample
 MAX_OPEN = 300_000  # distinct tokens or, times 4, n-grams that a task holds before it passes them on
 BATCH = 4 << 20  # bytes of text worked on together
 PROBED = 1 << 20  # n-grams that chunks ask of a segment at once
+MAX_TRIPLES = 1 << 20  # of levels that a task holds before it passes them on
 GRID = np.array([0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 CLASSES = 16  # of histories, by the power of 4 in their count
 U = np.uint64
@@ -251,10 +252,11 @@ class LogBloom:
         bucket = bucket_of(keys, len(self.sizes))
         return levels_in(identity(keys), self.bits, self.starts[bucket], self.sizes[bucket])
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that each key's level stands for."""
-        coded = pa.array(keys.view(np.int64)).dictionary_encode()  # each distinct key is probed once
-        return VALUES[self.levels(coded.dictionary.to_numpy(zero_copy_only=False).view(U))][coded.indices.to_numpy(zero_copy_only=False)]
+    def levels_of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The levels of word and bigram of each token."""
+        coded = pa.array(t.keys()[2].view(np.int64)).dictionary_encode()  # each distinct key is probed once
+        two = self.levels(coded.dictionary.to_numpy(zero_copy_only=False).view(U))[coded.indices.to_numpy(zero_copy_only=False)]
+        return self.levels(t.hashes)[t.codes], two
 
 
 def segments(runs: DataFrame) -> DataFrame:
@@ -304,11 +306,10 @@ class Chunk:
         return place & U(0xFFFFFFFF), np.searchsorted(place >> U(32), np.arange(buckets + 1).astype(U)), order, which
 
 
-def probed(chunks: DataFrame, filled: DataFrame, buckets: int, form: str, made: Callable) -> DataFrame:
-    """Rows of schema ``form`` that ``made`` yields for each row (row, codes, hashes, sizes) of written ``chunks``.
+def probed(chunks: DataFrame, filled: DataFrame, buckets: int) -> DataFrame:
+    """``row, sizes, one, two`` for each row (row, codes, hashes, sizes) of written ``chunks``: the levels of word and bigram of its tokens.
 
-    ``filled`` has the written segments. ``made`` gets the row, the sizes, and for its tokens the counts of word,
-    history and bigram by the filter. What meets in a task is a segment and the n-grams of one chunk at a time.
+    ``filled`` has the written segments. What meets in a task is a segment and the n-grams of one chunk at a time.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,20 +358,18 @@ def probed(chunks: DataFrame, filled: DataFrame, buckets: int, form: str, made:
             keys, _, order, which = chunk.keys(buckets)
             found = np.empty(len(keys), np.uint8)
             found[order] = np.frombuffer(b"".join(levels), np.uint8)
-            counts = VALUES[found]
-            one = counts[codes]
-            yield from made(row, np.frombuffer(blobs[2], np.int64), one, np.concatenate([counts[len(hashes) - 1 : len(hashes)], one[:-1]]), counts[len(hashes) :][which])
+            return pa.RecordBatch.from_arrays([pa.array([row]), *(pa.array([x], pa.binary()) for x in (blobs[2], *levelled(found[codes], found[len(hashes) :][which])))], ["row", "sizes", "one", "two"])
 
         for batch in batches:
             for bucket, row, n, blob, codes, hashes, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
                     if now:
-                        yield from done()
+                        yield done()
                     now, levels = (row, codes, hashes, sizes), []
                 else:
                     levels.append(pa.decompress(blob, n, "zstd", asbytes=True))
         if now:
-            yield from done()
+            yield done()
 
     none = F.lit(None).cast("binary")
     asked = chunks.select("row", "codes", "hashes", "sizes").mapInArrow(tidied(ask), "bucket int, row long, n long, blob binary")
@@ -379,7 +378,7 @@ def probed(chunks: DataFrame, filled: DataFrame, buckets: int, form: str, made:
     tidy(chunks.sparkSession)
     both = told.select("bucket", "row", "n", "blob", none.alias("codes"), none.alias("hashes"), none.alias("sizes"))
     both = both.unionByName(chunks.select(F.lit(-1).alias("bucket"), "row", F.lit(0).cast("long").alias("n"), none.alias("blob"), "codes", "hashes", "sizes"))
-    return both.repartition(buckets, "row").sortWithinPartitions("row", "bucket").mapInArrow(tidied(meet), form)
+    return both.repartition(buckets, "row").sortWithinPartitions("row", "bucket").mapInArrow(tidied(meet), "row long, sizes binary, one binary, two binary")
 
 
 def class_of(count: np.ndarray) -> np.ndarray:
@@ -396,20 +395,41 @@ def mixture(one: np.ndarray, history: np.ndarray, two: np.ndarray, total: int, d
     return (n1 + ADD) / (total - without + ADD * (distinct + 1)), np.minimum(n2 / np.maximum(nh, 1), 1), class_of(nh)
 
 
-def counts_of(bloom: LogBloom, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of word, history and bigram of each token."""
-    c1 = bloom.counts(t.hashes)
-    one = c1[t.codes]
-    return one, np.concatenate([c1[-1:], one[:-1]]), bloom.counts(t.keys()[2])
+def triples(met: DataFrame) -> DataFrame:
+    """``k, n``: the tokens of training texts by the levels of word, history and bigram (a byte each), from all rows of ``met``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
+
+        for batch in batches:
+            for _, sizes, one, history, two in unlevelled(batch):
+                mine = np.repeat(sizes[:, 1] > 0, sizes[:, 0])
+                k, n = np.unique((one.astype(np.uint32) << 16 | history.astype(np.uint32) << 8 | two)[mine], return_counts=True)
+                keys, counts = summed(np.concatenate([keys, k.astype(np.int64)]), np.concatenate([counts, n]))
+                if len(keys) > MAX_TRIPLES:
+                    yield out()
+                    keys, counts = keys[:0], counts[:0]
+        yield out()
+
+    return met.mapInArrow(tidied(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
 
+def likelihoods(counted: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Leave-one-out log likelihood by class of history and weight of GRID: parts of it from counted triples of levels."""
 
-def likelihoods(counts: tuple, total: int, distinct: int) -> pa.RecordBatch:
-    """Leave-one-out log likelihood by class of history and weight of GRID."""
-    out = np.zeros((CLASSES, len(GRID)))
-    one, two, kind = mixture(*counts, total, distinct, 1)
-    for g, m in enumerate(GRID):
-        out[:, g] += np.bincount(kind, np.log(m * two + (1 - m) * one), CLASSES)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *(pa.array(c) for c in out.T)], ["k", *(f"g{i}" for i in range(len(GRID)))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((CLASSES, len(GRID)))
+        for batch in batches:
+            k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            one, two, kind = mixture(*(VALUES[k >> shift & 255] for shift in (16, 8, 0)), total, distinct, 1)
+            for g, m in enumerate(GRID):
+                out[:, g] += np.bincount(kind, n * np.log(m * two + (1 - m) * one), CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *(pa.array(c) for c in out.T)], ["k", *(f"g{i}" for i in range(len(GRID)))])
+
+    return counted.mapInArrow(tidied(run), LIKELIHOODS)
 
 
 LIKELIHOODS = "k long, " + ", ".join(f"g{i} double" for i in range(len(GRID)))
@@ -425,40 +445,45 @@ def best_weights(sums: DataFrame) -> np.ndarray:
 
 
 def packed(t: Tokens) -> list[bytes]:
-    """Codes, hashes and sizes of a chunk."""
-    return [squeezed(t.codes), t.hashes.tobytes(), np.diff(t.starts).astype(np.int64).tobytes()]
+    """Codes and hashes of a chunk."""
+    return [squeezed(t.codes), t.hashes.tobytes()]
+
+
+def sized(t: Tokens, train: np.ndarray) -> bytes:
+    """Tokens of each text, and 1 where it is a training text."""
+    return np.stack([np.diff(t.starts), train], axis=1).astype(np.int64).tobytes()
+
+
+def unsized(sizes: bytes) -> np.ndarray:
+    return np.frombuffer(sizes, np.int64).reshape(-1, 2)
 
 
 def unpacked(codes: bytes, hashes: bytes, sizes: bytes) -> Chunk:
-    n = int(np.frombuffer(sizes, np.int64).sum())
-    return Chunk(unsqueezed(codes, n).astype(np.int64), np.frombuffer(hashes, U))
+    return Chunk(unsqueezed(codes, int(unsized(sizes)[:, 0].sum())).astype(np.int64), np.frombuffer(hashes, U))
 
 
-def numbered() -> int:
-    """The first row number of this task."""
-    return TaskContext.get().partitionId() << 40
+def levelled(*levels: np.ndarray) -> list[bytes]:
+    return [pa.compress(x.astype(np.uint8).tobytes(), "zstd", asbytes=True) for x in levels]
 
 
-def chunked(texts: DataFrame) -> DataFrame:
-    """``row, codes, hashes, sizes`` of batches of the column ``text``."""
+def unlevelled(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Row, sizes, and the levels of word, history and bigram of each token, for each row (row, sizes, one, two); a chunk ends in an end token."""
+    for row, sizes, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+        sizes = unsized(sizes)
+        one, two = (np.frombuffer(pa.decompress(x, int(sizes[:, 0].sum()), "zstd", asbytes=True), np.uint8) for x in blobs)
+        yield row, sizes, one, np.roll(one, 1), two
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = numbered()
-        for whole in batches:
-            for batch in batches_of(whole, BATCH):
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), *(pa.array([x], pa.binary()) for x in packed(Tokens.of(batch.column(0))))], ["row", "codes", "hashes", "sizes"])
-                    row += batch.num_rows
 
-    return texts.mapInArrow(run, "row long, codes binary, hashes binary, sizes binary")
+def numbered() -> int:
+    """The first row number of this task."""
+    return TaskContext.get().partitionId() << 40
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = 32 << 20, tuning_texts: int = 2000) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = 0) -> DataFrame:
     """One row a document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from all whole training texts, scores all. Null text is empty (one token, the end). Null
-    identifiers train. Repeated rows are scored each. With no training text no token is known. Only the
-    weights of the mixture are set on a bounded sample of about ``tuning_texts`` training texts.
+    identifiers train. Repeated rows are scored each. With no training text no token is known.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -480,30 +505,17 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filte
     tidy(spark)
     small = (filled.agg(F.sum(F.length("bits"))).first()[0] or 0) <= max_filter_bytes
     bloom = spark.sparkContext.broadcast(collected(filled, buckets)) if small else None
-    texts = train.select("doc_id").count()
-    # rows are drawn each on its own: many may share an identifier or a text
-    chosen = train.sample(min(1.0, tuning_texts / max(texts, 1)), SEED).select("text")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in batches_of(whole, BATCH):
-                yield likelihoods(counts_of(bloom.value, Tokens.of(batch.column(0))), total, distinct)
 
-    def chunk_sums(row: int, sizes: np.ndarray, *counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield likelihoods(counts, total, distinct)
-
-    weights = best_weights(chosen.mapInArrow(sums, LIKELIHOODS) if small else probed(written(chunked(chosen)), filled, buckets, LIKELIHOODS, chunk_sums))
-
-    def model(starts: np.ndarray, counts: tuple) -> np.ndarray:
-        one, two, kind = mixture(*counts, total, distinct)
-        m = weights[kind]
-        return np.add.reduceat(np.log10(m * two + (1 - m) * one), starts)
-
-    def chunk_scores(row: int, sizes: np.ndarray, *counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = row + np.arange(len(sizes))
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(model(np.cumsum(sizes) - sizes, counts))], ["row", "score"])
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sizes, *levels in unlevelled(batch):
+                one, two, kind = mixture(*(VALUES[x] for x in levels), total, distinct)
+                m, n = weights[kind], sizes[:, 0]
+                scores = np.add.reduceat(np.log10(m * two + (1 - m) * one), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), pa.array(scores)], ["row", "score"])
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "often", "base", "score", "words", "tf", "codes", "hashes", "sizes"]
+    blobs = ["one", "two"] if small else ["codes", "hashes"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "often", "base", "words", "tf", "sizes", *blobs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = frequent.value, numbered()
@@ -517,29 +529,30 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filte
                 often = (c >= 0)[t.codes]
                 base = np.add.reduceat(np.where(often, base_log10(np.maximum(c, 0), total, distinct)[t.codes], 0.0), starts)
                 seen = np.add.reduceat((c > 0)[t.codes].astype(np.int64), starts)
-                scores = pa.array(model(starts, counts_of(bloom.value, t))) if small else pa.nulls(len(n), pa.float64())
                 doc = np.repeat(np.arange(len(n)), n)[~often]
                 pair, tf = np.unique(doc * len(t.words) + t.codes[~often], return_counts=True)
                 bounds = np.searchsorted(pair // len(t.words), np.arange(len(n) + 1))
                 words = pa.array(t.words, pa.string()).take(pa.array(pair % len(t.words)))
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (words, pa.array(tf, pa.int64()))]
-                # the first row of a batch carries it for the filter's segments
-                chunk = [pa.array([x] + [None] * (len(n) - 1), pa.binary()) for x in ([None] * 3 if small else packed(t))]
-                cols = [pa.array(row + np.arange(len(n))), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(seen), pa.array(base), scores, *lists, *chunk]
+                # the first row of a batch carries its tokens
+                held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                chunk = [pa.array([x] + [None] * (len(n) - 1), pa.binary()) for x in (sized(t, ~held_out), *(levelled(*bloom.value.levels_of(t)) if small else packed(t)))]
+                cols = [pa.array(row + np.arange(len(n))), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(seen), pa.array(base), *lists, *chunk]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 row += len(n)
 
-    form = "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, score double, words array<string>, tf array<long>, codes binary, hashes binary, sizes binary"
+    form = "row long, doc_id long, held_out boolean, n_tokens long, often long, base double, words array<string>, tf array<long>, sizes binary, " + ", ".join(f"{c} binary" for c in blobs)
     first = written(slim.select("doc_id", (~is_training("doc_id")).alias("held_out"), "text").mapInArrow(tidied(run), form))
     rare = first.select("row", F.explode(F.arrays_zip("words", "tf")).alias("x")).select("row", F.col("x.words").alias("token"), F.col("x.tf").alias("tf"))
     met = rare.join(vocab.filter(F.col("n") < least).select("token", "c"), "token", "left")  # no such token has as many rows as ``least``
     here = F.coalesce("c", F.lit(0))
     value = F.log10((here + F.lit(ADD)) / F.lit(total + ADD * (distinct + 1)))
     more = met.groupBy("row").agg(F.sum(F.col("tf") * value).alias("more"), F.sum(F.when(here > 0, F.col("tf")).otherwise(0)).alias("known"))
-    out = first.drop("words", "tf", "codes", "hashes", "sizes").join(more, "row", "left")
+    chunks = first.filter("sizes is not null")
     if not small:
-        chunks = first.filter("codes is not null").select("row", "codes", "hashes", "sizes")
-        scored = written(probed(chunks, filled, buckets, "row long, score double", chunk_scores))
+        chunks = written(probed(chunks.select("row", "codes", "hashes", "sizes"), filled, buckets))
         tidy(spark)
-        out = out.drop("score").join(scored, "row", "left")
+    chunks = chunks.select("row", "sizes", "one", "two")
+    weights = best_weights(likelihoods(triples(chunks), total, distinct))
+    out = first.drop("words", "tf", "sizes", *blobs).join(more, "row", "left").join(chunks.mapInArrow(tidied(model), "row long, score double"), "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("often") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

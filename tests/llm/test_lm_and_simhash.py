@@ -124,6 +124,17 @@ def test_score_against_exact_counts(spark):
     assert np.mean(apart) < 0.02 and abs(sum(got.values()) / sum(s for _, s, _ in want) - 1) < 0.01
 
 
+def test_weights_come_from_all_training_texts(spark):
+    train = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 10]
+    # each of four texts alone tells the weight of its class of histories
+    rows = [(i, f"u{i} v{i}") for i in train[4:8000]] + [(i, f"a{i} b{i} " * n) for i, n in zip(train[:4], (8, 40, 150, 600))]
+    random.Random(3).shuffle(rows)
+    got = {r.doc_id: r.score for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: (s, n) for i, s, n in plain_scores(rows)}
+    assert len(got) == len(want) == 8000
+    assert max(abs(got[i] - want[i][0]) / want[i][1] for i in train[:4]) < 0.1  # with a weight of 0 it is over 0.5
+
+
 def test_a_filter_beyond_the_broadcast_keeps_all_counts(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randrange(60)))) for i in range(500)] + [(None, None), (None, ""), (7, "w1 w2 w3")]
