@@ -9,7 +9,7 @@ Lines that agree on a band share a bucket.
 2. What is linked then is one component. In buckets that hold several, every line outside the head's component is paired
    with all lines of other components. In small buckets that is a join. One with ``WORK`` comparisons or more is cut in
    blocks of ``BLOCK`` lines; a task compares two of them and gives links only, so what leaves it doesn't grow with the
-   square of a group. One with over ``CROWD`` such lines is divided by further minima before.
+   square of a group. That holds for a bucket of any size: no pair of it is left out, large ones have larger blocks.
 
 A sketch of the signature (four bits a minimum) comes first, so that only plausible pairs are verified. That is done by the exact Jaccard similarity of all shingles. Linked lines go to the distributed components; the first
 line of each (smallest row, then line number) stays.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, components, fresh, lookup, tidy, written
+from lexmill.llm.common import batches_of, components, discard, fresh, lookup, tidy, written
 from lexmill.llm.memo import release
 
 BANDS, ROWS, CHARS = 8, 4, 5
@@ -33,9 +33,9 @@ SIMILARITY = 0.8
 #: Sketches of lines at SIMILARITY differ in 6 of 32 parts on average, in more than this in one of a hundred.
 APART = 11
 #: A bucket with at least so many comparisons left is compared in blocks of so many lines or characters.
-WORK, BLOCK, BLOCK_CHARS, CROWD = 1 << 12, 512, 1 << 18, 4096
-#: A crowded bucket is divided by so many other minima, at most so often; similar lines share one of them (0.998 each time).
-PARTS, LEVELS = 4, 2
+WORK, BLOCK, BLOCK_CHARS = 1 << 12, 512, 1 << 18
+#: With over CROWD outer lines blocks are larger, as each line goes to every block of its bucket.
+CROWD, LARGER = 4096, 4
 #: Candidates' texts are marked by a broadcast of at most so many keys of 8 bytes, else by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 AT_ONCE = 1 << 16  # characters hashed together, so that working arrays stay in a core's cache
@@ -46,8 +46,8 @@ _RNG = np.random.default_rng(20230711)
 TURNS = ((np.arange(BANDS * ROWS) % ROWS * BANDS + np.arange(BANDS * ROWS) // ROWS) * ((1 << 32) // (BANDS * ROWS)) + _RNG.integers(0, (1 << 32) // (BANDS * ROWS), BANDS * ROWS)).astype(np.uint32)
 #: A band's heads are the smallest numbers after an exclusive or with its constant.
 HEADS = [0x9E3779B97F4A7C15 * (b + 1) & (1 << 63) - 1 for b in range(BANDS)]
-KEYS, SKETCH, FURTHER = [f"k{b}" for b in range(BANDS)], ["s1", "s2"], ["d1", "d2"]
-COLUMNS = [*KEYS, *SKETCH, *FURTHER, "size"]
+KEYS, SKETCH = [f"k{b}" for b in range(BANDS)], ["s1", "s2"]
+COLUMNS = [*KEYS, *SKETCH, "size"]
 LINE = ["id", "probe"]
 
 
@@ -105,7 +105,7 @@ def signatures(texts: list[str]) -> np.ndarray:
 
 
 def packed(minima: np.ndarray) -> list[np.ndarray]:
-    """Columns of KEYS (a key a band), SKETCH (four bits a minimum) and FURTHER (16 bits of eight minima)."""
+    """Columns of KEYS (a key a band) and SKETCH (four bits a minimum)."""
     wide = minima.astype(U)
     out = []
     for b in range(BANDS):
@@ -114,10 +114,6 @@ def packed(minima: np.ndarray) -> list[np.ndarray]:
     half = BANDS * ROWS // 2
     for side in (wide[:, :half], wide[:, half:]):
         out.append(np.bitwise_or.reduce((side >> U(7) & U(15)) << (U(4) * np.arange(half, dtype=U)), axis=1))
-    step = BANDS * ROWS // (PARTS * LEVELS)
-    for level in range(LEVELS):
-        chosen = wide[:, [(level * PARTS + p) * step + level for p in range(PARTS)]]
-        out.append(np.bitwise_or.reduce((chosen & U(0xFFFF)) << (U(16) * np.arange(PARTS, dtype=U)), axis=1))
     return [c.view(np.int64) for c in out]
 
 
@@ -278,30 +274,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def divided(rows: DataFrame, some: DataFrame, level: int) -> DataFrame:
-    """Rows (key, node, ...) in smaller buckets: the key and one of ``PARTS`` minima."""
-    chosen = F.array(*(F.shiftright(FURTHER[level], 16 * p).bitwiseAND(0xFFFF) for p in range(PARTS)))
-    keyed = rows.join(some.select("node", F.posexplode(chosen).alias("part", "m")), "node")
-    return keyed.withColumn("key", F.xxhash64("key", F.lit(level), "part", "m")).drop("part", "m")
-
-
 def open_rows(held: DataFrame, linked: DataFrame, some: DataFrame) -> DataFrame:
     """``key, node, component, outer, size, s1, s2`` of buckets with several components; ``outer`` is 1 outside the head's. Written, with
-    ``n_outer, n, chars`` of the bucket. Buckets with over CROWD outer lines are divided."""
+    ``n_outer, n, chars`` of the bucket."""
     member = linked.select("node", "component")
     rows = held.filter("n > 2").join(member, "node", "left").join(member.select(F.col("node").alias("head"), F.col("component").alias("head_component")), "head", "left")
     rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("head_component", "head").alias("main")).withColumn("outer", (F.col("component") != F.col("main")).cast("long"))
     rows = written(rows.drop("main").join(some.select("node", "size", *SKETCH), "node"))
-    out = None
-    for level in range(LEVELS + 1):
-        sizes = written(rows.groupBy("key").agg(F.sum("outer").alias("n_outer"), F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n_outer > 0 and n > 1"))
-        crowded = F.col("n_outer") > (CROWD if level < LEVELS else 1 << 62)
-        here = rows.join(sizes.filter(~crowded), "key")
-        out = here if out is None else out.unionByName(here)
-        if sizes.filter(crowded).isEmpty():
-            break
-        rows = written(divided(rows.join(sizes.filter(crowded).select("key"), "key", "left_semi"), some, level))
-    return written(out)
+    sizes = written(rows.groupBy("key").agg(F.sum("outer").alias("n_outer"), F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n_outer > 0 and n > 1"))
+    return written(rows.join(sizes, "key"))
 
 
 def few_pairs(rows: DataFrame) -> DataFrame:
@@ -344,12 +325,14 @@ def links_in(group: pa.Table, least: float) -> pa.Table:
 def many_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) of the other buckets: each group of outer lines meets each block of the bucket, and only links leave that task."""
     large = rows.filter(F.col("n_outer") * F.col("n") >= WORK).join(texts, "node")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    parts = F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)
+    blocks = F.ceil(F.when(F.col("n_outer") > CROWD, parts / LARGER).otherwise(parts)).cast("int")
     large = large.select("key", "node", "component", "outer", *SKETCH, "line", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
     every = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = ["outer", "node", "component", *SKETCH, "line"]
     near = every.filter("outer = 1 and other <> own").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("guest"), *rest)
-    all_ = every.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("guest"), *rest)
+    # two outer lines of different blocks meet in the group whose first block is the lower one
+    all_ = every.filter("outer = 0 or other <= own").select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("guest"), *rest)
     return near.unionByName(all_).groupBy("key", "i", "j").applyInArrow(lambda group: links_in(group, least), "a long, b long")
 
 
@@ -360,27 +343,34 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     text is read three times, row numbers once.
     """
     passed = written(first_pass(docs, row, text, carry))
-    table = passed.filter("line_no is not null").select("row", "carried", "line_no", *LINE)
     signed = passed.filter("line_no is null").groupBy(*LINE).agg(F.sum("copies").alias("copies"), *(F.max(c).alias(c) for c in COLUMNS))
     signed = written(signed.withColumn("node", F.monotonically_increasing_id()))
+    table = written(passed.filter("line_no is not null").select("row", "carried", "line_no", *LINE))
+    discard(passed)
     tidy(docs.sparkSession)
     held = written(held_lines(signed))
     tidy(docs.sparkSession)
     near = held.select("node").distinct()
-    some = written(signed.join(near, "node", "left_semi").select("node", *LINE, *SKETCH, *FURTHER, "size"))
+    some = written(signed.join(near, "node", "left_semi").select("node", *LINE, *SKETCH, "size"))
+    named = written(signed.select("node", *LINE, "copies"))
+    discard(signed)
     names = some.select("node", *LINE)
     first = written(plausible(held.filter("node <> head").select(*pair(F.col("node"), F.col("head"))).distinct(), some))
     texts = written(line_texts(docs, text, written(nodes(first).join(names, "node"))).dropDuplicates(["node"]))
     edges = written(verified(first, texts, least))
     tidy(docs.sparkSession)
     rows = open_rows(held, components(edges), some)
+    discard(held)
+    tidy(docs.sparkSession)
     rest = written(few_pairs(rows).join(first, ["a", "b"], "left_anti"))
     wanted = nodes(rest).union(rows.filter(F.col("n_outer") * F.col("n") >= WORK).select("node")).distinct()
     wanted = written(wanted.join(texts, "node", "left_anti").join(names, "node"))
-    texts = written(texts.unionByName(line_texts(docs, text, wanted).dropDuplicates(["node"])))
+    known, texts = texts, written(texts.unionByName(line_texts(docs, text, wanted).dropDuplicates(["node"])))
+    discard(known)
     more = written(verified(rest, texts, least).unionByName(many_links(rows, texts, least)))
     tidy(docs.sparkSession)
-    return _kept(table, signed, components(edges.unionByName(more)))
+    discard(rows, rest, texts, some, first)
+    return _kept(table, named, components(edges.unionByName(more)))
 
 
 def _kept(table: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:

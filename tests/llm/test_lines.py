@@ -115,6 +115,28 @@ def test_members_that_differ_from_the_head_still_link(spark, monkeypatch):
         assert all(kept[i] for i in range(40)) and not any(kept[100 + i] for i in range(40)), (block, crowd)
 
 
+def test_a_crowded_bucket_loses_no_link(spark, monkeypatch):
+    # pairs with a close sketch that share none of the minima 0, 4, 8, 12 and 17, 21, 25, 29
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    while len(pairs) < 6:
+        base = [" ".join(word() for _ in range(20)) for _ in range(2000)]
+        some = [(x, y) for x in base if (y := edited(rng, x, 0.8, 0.83, "abcdefghij"))]
+        one, two = (ld.signatures(list(side)) for side in zip(*some))
+        differ = one & 0xFFFF != two & 0xFFFF
+        near = ((one >> 7 & 15) != (two >> 7 & 15)).sum(axis=1) <= ld.APART
+        pairs += [p for p, d, n in zip(some, differ, near) if n and d[[0, 4, 8, 12]].all()]
+    monkeypatch.setattr(ld, "bands", lambda signed: signed.select("node", F.lit(0).alias("band"), F.lit(7).cast("long").alias("key")))
+    monkeypatch.setattr(ld, "WORK", 1)
+    df = spark.createDataFrame([(j * 1000 + i, t) for j in (0, 1) for i, t in enumerate(p[j] for p in pairs)], "n long, text string")
+    for block, crowd in ((1024, 4), (2, 4), (3, 4096)):
+        monkeypatch.setattr(ld, "BLOCK", block)
+        monkeypatch.setattr(ld, "CROWD", crowd)
+        kept = {r.row: r.kept for r in ld.marked(df, "n").collect()}
+        assert all(kept[i] != kept[1000 + i] for i in range(len(pairs))), (block, crowd)
+
+
 def test_lines_with_one_hash_in_common_stay_apart(spark, monkeypatch):
     first, texts = ld.first_pass, ld.line_texts
     one = F.when(F.col("id").isNotNull(), F.lit(5)).cast("long")
