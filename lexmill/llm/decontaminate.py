@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, fresh, shared_dir, store, texts_of, without, written
+from lexmill.llm.common import batches_of, fresh, numbered, shared_dir, store, texts_of, without, written
 from lexmill.llm.memo import tidied
 
 STEPS, TABLES, SAMPLED, STRIDE = 32, 8, 12, 4
@@ -387,5 +387,5 @@ def leaks(docs: DataFrame, items: DataFrame, row: str, doc_id: str = "doc_id", t
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", most_edits: float = 0.2) -> DataFrame:
     """``docs`` without those in which an item was found; columns as they were."""
     row = fresh(docs, "_row")
-    tagged = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    tagged = numbered(docs, row)
     return without(tagged, leaks(tagged, items, row, doc_id, text, most_edits=most_edits).select("row"), row)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import fresh, lookup, texts_of, without, written
+from lexmill.llm.common import fresh, lookup, numbered, texts_of, without, written
 from lexmill.llm.memo import tidied
 
 DIGESTS = "row long, doc_id long, digest binary, probe long, bytes long"
@@ -242,5 +242,5 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     that clash with names used here don't matter.
     """
     row = fresh(docs, "_row")
-    tagged = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    tagged = numbered(docs, row)
     return without(tagged, marked(tagged, row, doc_id, text, keep).filter("not kept").select("row"), row)

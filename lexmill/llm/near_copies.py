@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, components, fresh, texts_of, tidy, without, written
+from lexmill.llm.common import batches_of, components, fresh, numbered, texts_of, tidy, without, written
 from lexmill.llm.memo import tidied
 from lexmill.llm.simhash import fingerprints, near_links
 
@@ -169,7 +169,7 @@ def block_links(rows: DataFrame, texts: DataFrame, width: int, least: float) ->
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = SIMILARITY, distance: int = 2) -> DataFrame:
     """``docs`` with one row of each component left (smallest identifier, then smallest row number), columns as they were."""
     row = fresh(docs, "_row")
-    tagged = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    tagged = numbered(docs, row)
     prints = written(fingerprints(tagged, row, doc_id, text, width))
     distinct = written(prints.groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("copies")))
     edges = near_links(distinct.select("fp", "node"), distance).unionByName(similar_links(tagged, row, text, width, least))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexmill.llm import decontaminate, language_id, near_copies
+from lexmill.llm import common, decontaminate, exact_dedup, language_id, near_copies
 from tests.llm.test_lm_and_simhash import lowered, plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +228,35 @@ def test_language_edges(spark):
     keys = np.arange(130 * 5).astype(np.uint64)
     model = language_id.LanguageFilter.of(many, keys, np.repeat(np.arange(130), 5), np.full(650, 9.0))
     assert len(model.slices) == 3 and model.shares(["abc"])[0].shape == (1, 130)
+
+
+def test_stages_read_parquet_without_a_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "PART_BITS", 3)
+    rng = random.Random(5)
+    texts = [f"{i} " + " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5000)) for i in range(60)]
+    texts = [*texts, *(t.upper() for t in texts[:20]), *(t[:-60] for t in texts[20:40]), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, part in (("a", docs.filter("doc_id % 3 = 0")), ("b", docs.filter("doc_id % 3 > 0"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/t/{name}")
+    folders = [f"{tmp_path}/t/a", f"{tmp_path}/t/b"]
+    items = spark.createDataFrame([(1, texts[45][100:300]), (2, texts[59][2000:2200])], "item_id long, text string")
+    size = lambda folder=spark.conf.get("spark.checkpoint.dir").removeprefix("file://"): sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    for stage, gone in (
+        (exact_dedup.exact_dedup, {*range(60, 80), 101}),  # the smallest identifier stays, null is empty
+        (near_copies.near_dedup, {*range(60, 100), 101}),
+        (lambda df: decontaminate.decontaminated(df, items, doc_id="doc_id"), {45, 59}),
+    ):
+        before = size()
+        out = stage(spark.read.parquet(*folders))
+        got = sorted(r.doc_id for r in out.collect())
+        assert out.columns == ["doc_id", "text"]
+        assert size() - before < size(f"{tmp_path}/t") / 2
+        # the same rows remain of a frame that is not a plain table, which is written once
+        assert got == sorted(r.doc_id for r in stage(spark.read.parquet(*folders).filter("true").unionByName(docs.limit(0))).collect())
+        assert set(got) == set(range(len(texts))) - gone
+
+
+def test_row_numbers_of_a_file_named_twice(spark, tmp_path):
+    spark.range(50).withColumn("text", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    once, twice = (common.numbered(spark.read.parquet(*[f"{tmp_path}/t"] * n), "n") for n in (1, 2))
+    assert once.select("n").distinct().count() == 50 and twice.select("n").distinct().count() == twice.count()
