@@ -14,7 +14,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,84 +39,110 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
-def merge_words(words: list[list[int]], ranks: dict[int, tuple[int, int]]) -> list[list[int]]:
-    """Applies ``ranks`` (pair as left << 32 | right to (rank, merged symbol)) to each word, as BPE does."""
-    symbol: list[int] = []
-    owner: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    firsts = []
-    for w, word in enumerate(words):
-        at = len(symbol)
-        firsts.append(at)
-        n = len(word)
-        symbol += word
-        owner += [w] * n
-        after += range(at + 1, at + n)
-        before += [-1, *range(at, at + n - 1)][:n]
-        if n:
-            after.append(-1)
-    pairs: dict[int, tuple[int, int]] = {}  # rank -> (pair, merged symbol)
-    places: dict[int, list[int]] = {}
-    for at, right in enumerate(after):
-        if right >= 0 and (found := ranks.get(symbol[at] << 32 | symbol[right])):
-            rank = found[0]
-            if rank in places:
-                places[rank].append(at)
-            else:
-                places[rank] = [at]
-                pairs[rank] = (symbol[at] << 32 | symbol[right], found[1])
-    heap = list(places)
-    heapq.heapify(heap)
-    while heap:
-        rank = heapq.heappop(heap)
-        at_rank = places.pop(rank, None)
-        if not at_rank:
-            continue
-        pair, merged = pairs[rank]
-        left_symbol, right_symbol = pair >> 32, pair & 0xFFFFFFFF
-        waiting: set[int] = set()
-        back = []
-        at_rank.sort()
-        for at in at_rank:
-            right = after[at]
-            if symbol[at] != left_symbol or right < 0 or symbol[right] != right_symbol:
-                continue
-            if waiting and owner[at] in waiting:
-                back.append(at)
+class Merges:
+    """The merges of a vocabulary: ``ranks`` has pair (left << 32 | right) to (rank, merged symbol)."""
+
+    def __init__(self, ranks: dict[int, tuple[int, int]]):
+        self.rank = {pair: rank for pair, (rank, _) in ranks.items()}
+        self.parts = {rank: (pair >> 32, pair & 0xFFFFFFFF, merged) for pair, (rank, merged) in ranks.items()}
+        self.pairs = np.array(sorted(self.rank), np.int64)
+        self.rank_of = np.array([self.rank[p] for p in self.pairs.tolist()], np.int64)
+
+    def first(self, symbols: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
+        """Positions by the rank of the pair that stands there; none begins at the end of a word."""
+        if not len(self.pairs) or len(symbols) < 2:
+            return {}
+        pairs = symbols[:-1] << 32 | symbols[1:]
+        distinct, code = np.unique(pairs, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pairs, distinct), len(self.pairs) - 1)
+        rank = np.where(self.pairs[at] == distinct, self.rank_of[at], -1)[code]
+        rank[last[last < len(rank)]] = -1
+        places = np.flatnonzero(rank >= 0)
+        order = np.argsort(rank[places], kind="stable")
+        places, rank = places[order], rank[places][order]
+        begins = np.flatnonzero(np.diff(rank, prepend=-1))
+        ends = [*begins[1:].tolist(), len(rank)]
+        flat = places.tolist()
+        return {r: flat[i:j] for r, i, j in zip(rank[begins].tolist(), begins.tolist(), ends)}
+
+    def apply(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges words that lie one after the other, as BPE does: all their symbols, and how many each has."""
+        rank_of, parts = self.rank.get, self.parts
+        bounds = np.cumsum(sizes)
+        some = sizes > 0
+        last = bounds[some] - 1
+        places = self.first(symbols, last)
+        links = np.arange(1, len(symbols) + 1)
+        links[last] = -1
+        after = links.tolist()
+        links = np.arange(-1, len(symbols) - 1)
+        links[(bounds - sizes)[some]] = -1
+        before = links.tolist()
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        owner = owners.tolist()
+        symbol = symbols.tolist()
+        symbol.append(-2)  # what follows the end of a word
+        heap = list(places)
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
+            at_rank = places.pop(rank, None)
+            if not at_rank:
                 continue
-            symbol[at], symbol[right] = merged, -1
-            follow = after[right]
-            after[at] = follow
-            if follow >= 0:
-                before[follow] = at
-            previous = before[at]
-            for x, key in ((previous, symbol[previous] << 32 | merged if previous >= 0 else -1), (at, merged << 32 | symbol[follow] if follow >= 0 else -1)):
-                if key >= 0 and (found := ranks.get(key)):
-                    r = found[0]
-                    if r in places:
-                        places[r].append(x)
-                    else:
-                        places[r] = [x]
-                        pairs[r] = (key, found[1])
-                        heapq.heappush(heap, r)
-                    if r < rank:
-                        waiting.add(owner[at])
-        if back:
-            if rank in places:
-                places[rank] += back
-            else:
-                places[rank] = back
-                heapq.heappush(heap, rank)
-    out = []
-    for w, word in enumerate(words):
-        ids = []
-        at = firsts[w] if word else -1
-        while at >= 0:
-            ids.append(symbol[at])
-            at = after[at]
-        out.append(ids)
-    return out
+            left_symbol, right_symbol, merged = parts[rank]
+            high = merged << 32
+            waiting: set[int] = set()
+            back = []
+            at_rank.sort()
+            for at in at_rank:
+                right = after[at]
+                if symbol[at] != left_symbol or symbol[right] != right_symbol:
+                    continue
+                if waiting and owner[at] in waiting:
+                    back.append(at)
+                    continue
+                symbol[at] = merged
+                symbol[right] = -1
+                after[at] = follow = after[right]
+                if follow >= 0:
+                    before[follow] = at
+                    r = rank_of(high | symbol[follow])
+                    if r is not None:
+                        if r in places:
+                            places[r].append(at)
+                        else:
+                            places[r] = [at]
+                            heapq.heappush(heap, r)
+                        if r < rank:
+                            waiting.add(owner[at])
+                previous = before[at]
+                if previous >= 0:
+                    r = rank_of(symbol[previous] << 32 | merged)
+                    if r is not None:
+                        if r in places:
+                            places[r].append(previous)
+                        else:
+                            places[r] = [previous]
+                            heapq.heappush(heap, r)
+                        if r < rank:
+                            waiting.add(owner[at])
+            if back:
+                if rank in places:
+                    places[rank] += back
+                else:
+                    places[rank] = back
+                    heapq.heappush(heap, rank)
+        symbol.pop()
+        left = np.array(symbol, np.int64)
+        kept = left >= 0  # a merged symbol stands where its first part did
+        return left[kept], np.bincount(owners[kept], minlength=len(sizes))
+
+
+def merge_words(words: list[list[int]], ranks: dict[int, tuple[int, int]]) -> list[list[int]]:
+    """Applies ``ranks`` to each word."""
+    flat, sizes = Merges(ranks).apply(np.array([x for w in words for x in w], np.int64), np.array([len(w) for w in words], np.int64))
+    ends = np.cumsum(sizes)
+    return [flat[i:j].tolist() for i, j in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 class WordBPE:
@@ -138,12 +163,13 @@ class WordBPE:
         suffix = model["end_of_word_suffix"] or ""
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}"))
         alphabet = byte_alphabet()
-        self.inner = [vocab[c] for c in alphabet]
-        self.final = [vocab[c + suffix] for c in alphabet]
-        self.ranks: dict[int, tuple[int, int]] = {}
+        self.inner = np.array([vocab[c] for c in alphabet])
+        self.final = np.array([vocab[c + suffix] for c in alphabet])
+        ranks: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            ranks.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+        self.merges = Merges(ranks)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [b""] * (1 + max([*vocab.values(), *added.values()]))
         for token, i in [*vocab.items(), *added.items()]:
@@ -166,9 +192,14 @@ class WordBPE:
 
     def _merge(self, words: list[str]) -> list[bytes]:
         # a symbol is a byte; the byte that ends the word has the suffix
-        inner, final = self.inner, self.final
-        coded = [[*map(inner.__getitem__, b[:-1]), final[b[-1]]] for b in map(str.encode, words)]
-        return [array("I", x).tobytes() for x in merge_words(coded, self.ranks)]
+        coded = list(map(str.encode, words))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        symbols, last = self.inner[data], np.cumsum(sizes) - 1
+        symbols[last] = self.final[data[last]]
+        ids, sizes = self.merges.apply(symbols, sizes)
+        data, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""

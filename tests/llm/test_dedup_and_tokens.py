@@ -143,3 +143,26 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sstable.write_shards(empty, BYTE).files == []
     assert sstable.read_shards(spark, sstable.write_shards(empty, BYTE)).count() == 0
+
+
+def test_merges_of_words_in_one_array():
+    rng = random.Random(3)
+    for _ in range(60):
+        ranks, top = {}, 4
+        for rank in range(12):
+            if ranks.setdefault(rng.randrange(top) << 32 | rng.randrange(top), (rank, top)) == (rank, top):
+                top += 1
+        words = [[rng.randrange(4) for _ in range(rng.choice([0, 1, 2, 5, 30]))] for _ in range(20)]
+        ids, sizes = bpe.Merges(ranks).apply(np.array([x for w in words for x in w], np.int64), np.array(list(map(len, words))))
+        want = []
+        for word in words:  # the plain algorithm: the lowest rank everywhere, from left to right
+            while found := sorted({ranks[p] for p in (a << 32 | b for a, b in zip(word, word[1:])) if p in ranks}):
+                i, out = 0, []
+                while i < len(word):
+                    hit = i + 1 < len(word) and ranks.get(word[i] << 32 | word[i + 1]) == found[0]
+                    out.append(found[0][1] if hit else word[i])
+                    i += 1 + hit
+                word = out
+            want.append(word)
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == list(map(len, want))
+    assert [len(x) for x in bpe.Merges({}).apply(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
