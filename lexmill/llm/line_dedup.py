@@ -33,13 +33,15 @@ SIMILARITY = 0.8
 #: Sketches of lines at SIMILARITY differ in 6 of 32 parts on average, in more than this in one of a hundred.
 APART = 11
 #: A bucket with at least so many comparisons left is compared in blocks of so many lines or characters.
-WORK, BLOCK, BLOCK_CHARS = 1 << 12, 512, 1 << 18
+WORK, BLOCK, BLOCK_CHARS = 1 << 12, 2048, 1 << 20
 #: With over CROWD outer lines blocks are larger, as each line goes to every block of its bucket.
-CROWD, LARGER = 4096, 4
+CROWD, LARGER = 4096, 2
 #: Candidates' texts are marked by a broadcast of at most so many keys of 8 bytes, else by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 AT_ONCE = 1 << 16  # characters hashed together, so that working arrays stay in a core's cache
 BATCH = 4 << 20  # bytes of text worked on together
+CODE_BITS = 40  # of a shingle's number
+SHINGLES_AT_ONCE, MARKS_AT_ONCE = 1 << 19, 1 << 17  # of pairs compared together
 U = np.uint64
 _RNG = np.random.default_rng(20230711)
 #: Column b * ROWS + r lies in part r * BANDS + b of the range.
@@ -212,6 +214,7 @@ def held_lines(signed: DataFrame) -> DataFrame:
     keyed = bands(signed)
     turn = F.element_at(F.array(*map(F.lit, HEADS)), F.col("band") + 1)
     heads = written(keyed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("head"), F.count("*").alias("n")).filter("n > 1"))
+    tidy(signed.sparkSession)
     found = lookup(keyed, heads, ["key"], "n", signed.count() * BANDS).filter("n is not null")
     return found.select("key", "node", F.col("head").bitwiseXOR(turn).alias("head"), "n")
 
@@ -230,33 +233,58 @@ def plausible(pairs: DataFrame, some: DataFrame) -> DataFrame:
     return both.filter(close("x", "y")).select("a", "b")
 
 
-def shingle_sets(texts: list[str]) -> list[set]:
-    """All shingles of each line; of a shorter line the line itself. As numbers where these are as many as the shingles, else as text."""
+def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct shingles of each line, one line after the other, as numbers of so many bits (CODE_BITS at most); and the lines' bounds.
+
+    A line shorter than a shingle is one itself. Numbers are exact: equal ones stand for equal shingles.
+    """
     gap = "\n" * (CHARS - 1)
     data = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
     seen = np.zeros(int(data.max()) + 1, bool)
     seen[data] = True
-    if seen.sum() ** CHARS >= 1 << 63:
-        return [{t[i : i + CHARS] for i in range(max(1, len(t) - CHARS + 1))} for t in texts]
-    data = (np.cumsum(seen) - 1)[data]
+    data, letters = (np.cumsum(seen) - 1)[data], int(seen.sum())
     size = len(data) - CHARS + 1
-    codes = data[:size]
+    codes, span = data[:size], letters
     for j in range(1, CHARS):
-        codes = codes * int(seen.sum()) + data[j : size + j]
-    out, at = [], 0
-    for t in texts:
-        out.append(set(codes[at : at + max(1, len(t) - CHARS + 1)].tolist()))
-        at += len(t) + CHARS - 1
+        codes = codes * letters + data[j : size + j]
+        span *= letters
+        if span > 1 << CODE_BITS:
+            known, codes = np.unique(codes, return_inverse=True)
+            span = len(known)
+    bits = span.bit_length()
+    chars = np.array([len(t) for t in texts])
+    full = np.maximum(chars - CHARS + 1, 1)
+    begins = np.cumsum(chars + CHARS - 1) - (chars + CHARS - 1)
+    marked = np.sort(np.repeat(np.arange(len(texts)), full) << bits | codes[stretches(begins, full)])
+    marked = marked[np.concatenate([[True], marked[1:] != marked[:-1]])]
+    return marked & (1 << bits) - 1, np.searchsorted(marked, np.arange(len(texts) + 1) << bits), bits
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def alike(texts: list[str], one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """For each pair of places in ``texts`` whether the Jaccard similarity of all shingles is at least ``least``."""
+    out = np.zeros(len(one), bool)
+    if not len(one):
+        return out
+    codes, bounds, bits = distinct_shingles(texts)
+    sizes = np.diff(bounds)
+    a, b = sizes[one], sizes[two]
+    open_ = np.flatnonzero(np.minimum(a, b) >= least * np.maximum(a, b))
+    part = np.cumsum((a + b)[open_]) // SHINGLES_AT_ONCE
+    for some in np.split(open_, np.flatnonzero(np.diff(part)) + 1):
+        turn = np.arange(len(some))
+        sides = [np.repeat(turn, sizes[x]) << bits | codes[stretches(bounds[x], sizes[x])] for x in (one[some], two[some])]
+        both = np.sort(np.concatenate(sides))  # a side has each shingle once
+        shared = np.bincount(both[1:][both[1:] == both[:-1]] >> bits, minlength=len(some))
+        out[some] = shared >= least * (a[some] + b[some] - shared)
     return out
 
 
-def alike(one: set, two: set, least: float) -> bool:
-    if min(len(one), len(two)) < least * max(len(one), len(two)):
-        return False
-    both = len(one & two)
-    return both >= least * (len(one) + len(two) - both)
-
-
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) with a Jaccard similarity of all shingles of at least ``least``."""
 
@@ -266,8 +294,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for batch in batches_of(whole, BATCH // 4):
                 number: dict[str, int] = {}
                 one, two = ([number.setdefault(x, len(number)) for x in batch.column(c).to_pylist()] for c in (2, 3))
-                sets = shingle_sets(list(number)) if number else []
-                ok = pa.array([alike(sets[i], sets[j], least) for i, j in zip(one, two)], pa.bool_())
+                ok = pa.array(alike(list(number), np.array(one, np.int64), np.array(two, np.int64), least))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in (0, 1)], ["a", "b"])
 
     a, b = (texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
@@ -293,32 +320,61 @@ def few_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & differ & close("x", "y")).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
 
 
+def near_marks(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sketches (rows of two numbers) that differ in at most APART parts, in order."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    step = max(1, MARKS_AT_ONCE // max(1, len(two)))
+    for at in range(0, len(one), step):
+        differ = np.zeros((len(one[at : at + step]), len(two)), np.uint8)
+        for c in range(2):
+            x = one[at : at + step, c, None] ^ two[None, :, c]
+            x |= x >> U(1)
+            x |= x >> U(2)
+            x &= U(0x1111111111111111)
+            differ += np.bitwise_count(x)
+        i, j = np.nonzero(differ <= APART)
+        found.append((i + at, j))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def links_in(group: pa.Table, least: float) -> pa.Table:
     """Links (a, b) that span what is similar between outer lines and all lines of a block."""
-    rows = group.to_pylist()
-    all_ = [r for r in rows if not r["guest"]]
+    node, part, outer, i, j, guest = (group.column(c).to_numpy() for c in ("node", "component", "outer", "i", "j", "guest"))
+    all_ = np.flatnonzero(~guest)
     # outer lines of the block itself, or those of another block, which come as guests
-    near = [r for r in rows if r["guest"]] or [r for r in all_ if r["outer"] and r["i"] == r["j"]]
-    sets = shingle_sets([r["line"] for r in near + all_]) if near and all_ else []
-    marks = np.array([[r["s1"], r["s2"]] for r in all_], np.int64).reshape(-1, 2).view(U)
+    near = np.flatnonzero(guest) if guest.any() else np.flatnonzero((outer == 1) & (i == j))
+    marks = np.stack([group.column(c).to_numpy() for c in SKETCH], axis=1).view(U)
+    one, two = near_marks(marks[near], marks[all_])
+    one, two = near[one], all_[two]
+    differ = part[one] != part[two]
+    one, two = one[differ], two[differ]
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
         while (up := root.get(c, c)) != c:
-            c = up
+            root[c] = c = root.get(up, up)
         return c
 
-    found = []
-    for i, r in enumerate(near):
-        x = marks ^ np.array([r["s1"], r["s2"]], np.int64).view(U)
-        x |= x >> U(1)
-        x |= x >> U(2)
-        differ = np.bitwise_count(x & U(0x1111111111111111)).sum(axis=1)
-        for j in np.flatnonzero(differ <= APART).tolist():
-            one, two = find(r["component"]), find(all_[j]["component"])
-            if one != two and alike(sets[i], sets[len(near) + j], least):
-                root[max(one, two)] = min(one, two)
-                found.append((r["node"], all_[j]["node"]))
+    found, most = [], 1
+    while len(one):
+        # of a line and a component one pair, then four times as many: what is linked then needs no other
+        other = np.array([find(c) for c in part[two].tolist()])
+        order = np.lexsort((other, one))
+        first = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])])
+        starts = np.flatnonzero(first)
+        now = order[np.arange(len(order)) - starts[np.cumsum(first) - 1] < most]
+        most *= 4
+        used, at = np.unique(np.concatenate([one[now], two[now]]), return_inverse=True)
+        ok = alike(group.column("line").take(pa.array(used)).to_pylist(), at[: len(now)], at[len(now) :], least)
+        for x, y in zip(one[now[ok]].tolist(), two[now[ok]].tolist()):
+            a, b = find(part[x]), find(part[y])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((node[x], node[y]))
+        left = np.ones(len(one), bool)
+        left[now] = False
+        left &= np.array([find(x) != find(y) for x, y in zip(part[one].tolist(), part[two].tolist())], bool)
+        one, two = one[left], two[left]
     return pa.table({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
 
 
@@ -345,6 +401,7 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     passed = written(first_pass(docs, row, text, carry))
     signed = passed.filter("line_no is null").groupBy(*LINE).agg(F.sum("copies").alias("copies"), *(F.max(c).alias(c) for c in COLUMNS))
     signed = written(signed.withColumn("node", F.monotonically_increasing_id()))
+    tidy(docs.sparkSession)
     table = written(passed.filter("line_no is not null").select("row", "carried", "line_no", *LINE))
     discard(passed)
     tidy(docs.sparkSession)

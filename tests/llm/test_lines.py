@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.llm import line_dedup as ld
@@ -152,3 +154,40 @@ def test_pieces_of_a_long_line_make_one_signature(monkeypatch):
     whole = ld.signatures(texts)
     monkeypatch.setattr(ld, "AT_ONCE", 50)
     assert (ld.signatures(texts) == whole).all()
+
+
+def test_similarity_of_many_pairs_is_exact(monkeypatch):
+    rng = random.Random(11)
+    for alphabet in ("abc ", "".join(chr(0x4E00 + i) for i in range(3000)) + "\U0001f600\ud800"):
+        some = ["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 4, 5, 6, 30, 80]))) for _ in range(200)]
+        texts = some + [x[: len(x) // 2] + rng.choice(alphabet) + x[len(x) // 2 + 1 :] for x in some]
+        one, two = ([rng.randrange(400) for _ in range(1000)] + list(at) for at in (range(200), range(200, 400)))
+        want = [len(grams(texts[i]) & grams(texts[j])) >= 0.8 * len(grams(texts[i]) | grams(texts[j])) for i, j in zip(one, two)]
+        for most in (1 << 19, 50):
+            monkeypatch.setattr(ld, "SHINGLES_AT_ONCE", most)
+            assert ld.alike(texts, np.array(one), np.array(two), 0.8).tolist() == want
+
+
+def test_a_block_reads_only_lines_with_a_close_sketch(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    names = [" ".join(word() for _ in range(20)) for _ in range(60)]
+    lines = names + [x + "x" for x in names[:30]] + [x + "xy" for x in names[:30]]
+    s1, s2 = ld.packed(ld.signatures(lines))[-2:]
+    n, read, plain_alike = len(lines), set(), ld.alike
+    monkeypatch.setattr(ld, "alike", lambda texts, *a: read.update(texts) or plain_alike(texts, *a))
+    nodes = np.arange(n) + 500
+    for guests in (0, 45):
+        read.clear()
+        group = pa.table({"node": nodes, "component": nodes, "outer": np.ones(n, np.int64), "i": np.zeros(n, np.int32), "j": np.zeros(n, np.int32), "guest": np.arange(n) < guests, "s1": s1, "s2": s2, "line": lines})
+        found = ld.links_in(group, 0.8).to_pylist()
+        near = range(guests) if guests else range(n)
+        want = {i: {j for j in range(guests, n) if j != i and len(grams(lines[i]) & grams(lines[j])) >= 0.8 * len(grams(lines[i]) | grams(lines[j]))} for i in near}
+        root = list(range(n))
+        for r in found:
+            a, b = r["a"] - 500, r["b"] - 500
+            assert b in want.get(a, ()) or a in want.get(b, ())
+            root = [root[b] if x == root[a] else x for x in root]
+        assert all(root[i] == root[j] for i, js in want.items() for j in js)
+        assert len(found) == n - len(set(root))  # they span, no more
+        assert not read & set(names[30:])
