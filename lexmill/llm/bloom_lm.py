@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import batches_of, crc_of_id, tidy, written
+from lexmill.llm.common import batches_of, crc_of_id, discard, tidy, written
 from lexmill.llm.memo import tidied
 
 BASE, ADD = 1.2, 0.1
@@ -309,7 +309,7 @@ class Chunk:
 def probed(chunks: DataFrame, filled: DataFrame, buckets: int) -> DataFrame:
     """``row, sizes, one, two`` for each row (row, codes, hashes, sizes) of written ``chunks``: the levels of word and bigram of its tokens.
 
-    ``filled`` has the written segments. What meets in a task is a segment and the n-grams of one chunk at a time.
+    ``filled`` has the written segments, which are deleted once they have answered; so are the answers. What meets in a task is a segment and the n-grams of one chunk at a time.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +375,14 @@ def probed(chunks: DataFrame, filled: DataFrame, buckets: int) -> DataFrame:
     asked = chunks.select("row", "codes", "hashes", "sizes").mapInArrow(tidied(ask), "bucket int, row long, n long, blob binary")
     asked = asked.unionByName(filled.select("bucket", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("n"), F.col("bits").alias("blob")))
     told = written(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "row").mapInArrow(tidied(answer), "bucket int, row long, n long, blob binary"))
+    discard(filled)
     tidy(chunks.sparkSession)
     both = told.select("bucket", "row", "n", "blob", none.alias("codes"), none.alias("hashes"), none.alias("sizes"))
     both = both.unionByName(chunks.select(F.lit(-1).alias("bucket"), "row", F.lit(0).cast("long").alias("n"), none.alias("blob"), "codes", "hashes", "sizes"))
-    return both.repartition(buckets, "row").sortWithinPartitions("row", "bucket").mapInArrow(tidied(meet), "row long, sizes binary, one binary, two binary")
+    met = written(both.repartition(buckets, "row").sortWithinPartitions("row", "bucket").mapInArrow(tidied(meet), "row long, sizes binary, one binary, two binary"))
+    discard(told)
+    tidy(chunks.sparkSession)
+    return met
 
 
 def class_of(count: np.ndarray) -> np.ndarray:
@@ -550,8 +554,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filte
     more = met.groupBy("row").agg(F.sum(F.col("tf") * value).alias("more"), F.sum(F.when(here > 0, F.col("tf")).otherwise(0)).alias("known"))
     chunks = first.filter("sizes is not null")
     if not small:
-        chunks = written(probed(chunks.select("row", "codes", "hashes", "sizes"), filled, buckets))
-        tidy(spark)
+        chunks = probed(chunks.select("row", "codes", "hashes", "sizes"), filled, buckets)
     chunks = chunks.select("row", "sizes", "one", "two")
     weights = best_weights(likelihoods(triples(chunks), total, distinct))
     out = first.drop("words", "tf", "sizes", *blobs).join(more, "row", "left").join(chunks.mapInArrow(tidied(model), "row long, score double"), "row", "left")

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -235,3 +236,13 @@ def test_lookup_with_hot_keys(spark):
     table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).filter("k <> 777")
     got = {(r.i, r.k): r.top for r in common.lookup(rows, table, ["k"], "n", 3002).collect()}
     assert len(got) == 3002 and got[(9999, None)] is None and got[(9998, 777)] is None and got[(3, 0)] == 2997
+
+
+def test_segments_and_answers_go_once_tokens_have_levels(spark, monkeypatch):
+    tables, plain = [], bloom_lm.written
+    monkeypatch.setattr(bloom_lm, "written", lambda df: tables.append((df.columns, out := plain(df), out.inputFiles())) or out)
+    docs = spark.createDataFrame([(i, f"a few words and {i % 7} more") for i in range(60)], "doc_id long, text string")
+    assert bloom_lm.score(docs).filter("score < 0").count() == 60
+    left = {c: [os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files] for columns, _, files in tables for c in columns}
+    assert left["bits"] and not any(left["bits"]) and left["blob"] and not any(left["blob"])
+    assert all(left["two"]) and all(left["token"])
