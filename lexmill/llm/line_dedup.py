@@ -210,13 +210,15 @@ def close(a: str, b: str, most: int = APART) -> Column:
 
 
 def held_lines(signed: DataFrame) -> DataFrame:
-    """``key, node, head, n`` for each line of each bucket with other lines; ``signed`` is written."""
+    """``key, node, head, n`` for each line of each bucket with other lines, written; ``signed`` is written."""
     keyed = bands(signed)
     turn = F.element_at(F.array(*map(F.lit, HEADS)), F.col("band") + 1)
     heads = written(keyed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("head"), F.count("*").alias("n")).filter("n > 1"))
     tidy(signed.sparkSession)
-    found = lookup(keyed, heads, ["key"], "n", signed.count() * BANDS).filter("n is not null")
-    return found.select("key", "node", F.col("head").bitwiseXOR(turn).alias("head"), "n")
+    found = lookup(keyed, heads, ["key"], "n", signed.count() * BANDS, hashed=True).filter("n is not null")
+    held = written(found.select("key", "node", F.col("head").bitwiseXOR(turn).alias("head"), "n"))
+    discard(heads)
+    return held
 
 
 def pair(a: Column, b: Column) -> list[Column]:
@@ -309,7 +311,9 @@ def open_rows(held: DataFrame, linked: DataFrame, some: DataFrame) -> DataFrame:
     rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("head_component", "head").alias("main")).withColumn("outer", (F.col("component") != F.col("main")).cast("long"))
     rows = written(rows.drop("main").join(some.select("node", "size", *SKETCH), "node"))
     sizes = written(rows.groupBy("key").agg(F.sum("outer").alias("n_outer"), F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n_outer > 0 and n > 1"))
-    return written(rows.join(sizes, "key"))
+    both = written(rows.join(sizes, "key"))
+    discard(rows, sizes)
+    return both
 
 
 def few_pairs(rows: DataFrame) -> DataFrame:
@@ -405,15 +409,18 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     table = written(passed.filter("line_no is not null").select("row", "carried", "line_no", *LINE))
     discard(passed)
     tidy(docs.sparkSession)
-    held = written(held_lines(signed))
+    held = held_lines(signed)
     tidy(docs.sparkSession)
     near = held.select("node").distinct()
     some = written(signed.join(near, "node", "left_semi").select("node", *LINE, *SKETCH, "size"))
     named = written(signed.select("node", *LINE, "copies"))
     discard(signed)
     names = some.select("node", *LINE)
+    tidy(docs.sparkSession)
     first = written(plausible(held.filter("node <> head").select(*pair(F.col("node"), F.col("head"))).distinct(), some))
+    tidy(docs.sparkSession)
     texts = written(line_texts(docs, text, written(nodes(first).join(names, "node"))).dropDuplicates(["node"]))
+    tidy(docs.sparkSession)
     edges = written(verified(first, texts, least))
     tidy(docs.sparkSession)
     rows = open_rows(held, components(edges), some)
@@ -422,12 +429,17 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     rest = written(few_pairs(rows).join(first, ["a", "b"], "left_anti"))
     wanted = nodes(rest).union(rows.filter(F.col("n_outer") * F.col("n") >= WORK).select("node")).distinct()
     wanted = written(wanted.join(texts, "node", "left_anti").join(names, "node"))
-    known, texts = texts, written(texts.unionByName(line_texts(docs, text, wanted).dropDuplicates(["node"])))
-    discard(known)
-    more = written(verified(rest, texts, least).unionByName(many_links(rows, texts, least)))
+    discard(some, first)
+    tidy(docs.sparkSession)
+    further = written(line_texts(docs, text, wanted).dropDuplicates(["node"]))
+    tidy(docs.sparkSession)
+    every = texts.unionByName(further)
+    few = written(verified(rest, every, least))
+    tidy(docs.sparkSession)
+    many = written(many_links(rows, every, least))
+    discard(rows, rest, texts, further)
     tidy(docs.sparkSession)
-    discard(rows, rest, texts, some, first)
-    return _kept(table, named, components(edges.unionByName(more)))
+    return _kept(table, named, components(edges.unionByName(few).unionByName(many)))
 
 
 def _kept(table: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:

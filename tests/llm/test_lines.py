@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -139,6 +140,30 @@ def test_a_crowded_bucket_loses_no_link(spark, monkeypatch):
         assert all(kept[i] != kept[1000 + i] for i in range(len(pairs))), (block, crowd)
 
 
+def test_tables_go_before_blocks_are_compared(spark, monkeypatch):
+    tables, seen, plain_written, plain_links = [], [], ld.written, ld.many_links
+
+    def kept(df):
+        tables.append(plain_written(df))
+        return tables[-1]
+
+    def there():
+        return [set(t.columns) for t in tables if any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in t.inputFiles())]
+
+    monkeypatch.setattr(ld, "written", kept)
+    monkeypatch.setattr(ld, "WORK", 1)
+    monkeypatch.setattr(ld, "many_links", lambda *a: seen.extend(there()) or plain_links(*a))
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    names = [" ".join(word() for _ in range(20)) for _ in range(200)]
+    texts = names + ["".join(rng.choice("xyz") if rng.random() < 0.02 else c for c in n) for n in names for _ in range(4)]
+    out = ld.marked(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "n")
+    # of the tables with sketches, heads or sizes of buckets only the rows to compare are left
+    assert [c for c in seen if c & {"s1", "head", "n_outer"}] == [{"key", "node", "component", "outer", "size", "s1", "s2", "n_outer", "n", "chars"}]
+    assert not [c for c in there() if c & {"s1", "head", "n_outer", "line"}]
+    assert out.count() == len(texts)
+
+
 def test_lines_with_one_hash_in_common_stay_apart(spark, monkeypatch):
     first, texts = ld.first_pass, ld.line_texts
     one = F.when(F.col("id").isNotNull(), F.lit(5)).cast("long")
