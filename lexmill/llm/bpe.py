@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import batches_of
 from lexmill.llm.memo import Memo, divided, gathered
 
-MAX_CHUNKS, MAX_WORDS = 40_000, 200_000
+MAX_CHUNKS, MAX_WORDS = 200_000, 400_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
-ODD = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")  # white space to some, not to others
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+LETTERS = regex.compile(f"[{LATIN}]+")  # composed already, and lowered letter by letter
+ODD = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}]"  # white space to some, not to others
 
 
 def byte_alphabet() -> list[str]:
@@ -174,14 +176,19 @@ class WordBPE:
         self.tokens = [b""] * (1 + max([*vocab.values(), *added.values()]))
         for token, i in [*vocab.items(), *added.items()]:
             self.tokens[i] = token.encode()
+        self.names = pa.array(self.tokens, pa.large_binary())
         self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        every = "".join(filter(LETTERS.fullmatch, map(chr, range(256)))).lower()
+        self.whole = LETTERS.fullmatch if self.pattern.findall(every) == [every] else lambda _: None
         self.memo, self.words = Memo(self._learn, MAX_CHUNKS), Memo(self._merge, MAX_WORDS)
 
     def _chunks(self, text: str) -> list[str]:
         return [x for x in SPACES.split(text) if x]
 
     def _words(self, chunk: str) -> list[str]:
+        if self.whole(chunk):
+            return [chunk.lower()]
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
@@ -205,10 +212,11 @@ class WordBPE:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         out: list = [b""] * len(texts)
         plain = []
+        odd = pc.match_substring_regex(pa.array(texts, pa.string()), ODD).to_pylist()
         for i, t in enumerate(texts):
             if t and self.cut and "<|" in t and len(parts := self.cut.split(t)) > 1:
                 out[i] = b"".join(self.added.get(x) or b"".join(self.memo.values(self._chunks(x))) for x in parts)
-            elif t and ODD.search(t):
+            elif t and odd[i]:
                 out[i] = b"".join(self.memo.values(self._chunks(t)))
             elif t:
                 plain.append(i)
@@ -224,7 +232,14 @@ class WordBPE:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens joined by spaces (the file has no decoder), in UTF-8; added tokens are kept."""
-        return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.decoded([ids.astype("<u4").tobytes()])[0]
+
+    def decoded(self, coded: list[bytes]) -> list[bytes]:
+        """What :meth:`encode` gives, as :meth:`decode` has it."""
+        bounds = np.cumsum([0, *map(len, coded)]) // 4
+        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+        rows = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.names.take(pa.array(ids)))
+        return pc.binary_join(rows, pa.scalar(b" ", pa.large_binary())).to_pylist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -244,9 +259,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         model = word_bpe(tokenizer)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for whole in batches:
-            for batch in batches_of(whole, 1 << 20):
+            for batch in batches_of(whole, 1 << 22):
                 coded = model.encode(batch.column(1).to_pylist())
-                decoded = [model.decode(np.frombuffer(x, "<u4")) for x in coded]
+                decoded = model.decoded(coded)
                 cols = [batch.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(map(sha, coded), pa.string()), pa.array(map(sha, decoded), pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_output:

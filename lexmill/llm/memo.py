@@ -7,6 +7,7 @@ import ctypes
 import gc
 import weakref
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ class Memo:
     def joined(self, rows: list[list[str]]) -> list[bytes]:
         """For each row the values of its pieces, one after the other."""
         values = iter(self.values([x for row in rows for x in row]))
-        return [b"".join([next(values) for _ in row]) for row in rows]
+        return [next(values) if len(row) == 1 else b"".join(islice(values, len(row))) for row in rows]
 
 
 def gathered(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -88,4 +89,4 @@ def divided(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct pieces of lists of strings, the code of each piece in order and the lists' bounds."""
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds - bounds[0]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds - bounds[0]

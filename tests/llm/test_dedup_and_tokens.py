@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -166,3 +167,23 @@ def test_merges_of_words_in_one_array():
             want.append(word)
         assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == list(map(len, want))
     assert [len(x) for x in bpe.Merges({}).apply(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_bpe_letters_need_no_pattern_and_recurring_pieces_no_second_merge(monkeypatch):
+    model = bpe.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
+    for c in map(chr, range(1, 0x370)):
+        for chunk in (c, f"a{c}B", f"{c}'s"):
+            plain = unicodedata.normalize("NFC", chunk)
+            assert model._words(chunk) == model.pattern.findall("".join(map(str.lower, plain))), chunk
+    some = model.encode(["Über<|endoftext|>façade 12!", "", None, "ª x"])
+    assert model.decoded(some) == [b" ".join(model.tokens[i] for i in np.frombuffer(x, "<u4")) for x in some]
+    merged = []
+    plain_merge = model.words.learn
+    monkeypatch.setattr(model.words, "learn", lambda words: merged.extend(words) or plain_merge(words))
+    monkeypatch.setattr(model, "pattern", None)  # words of letters do without it
+    letters = "abcdefghij"
+    pieces = ["".join(letters[int(d)] for d in f"{i:05d}") for i in range(60_000)]
+    first = [model.encode([" ".join(pieces[i : i + 10_000])])[0] for i in range(0, 60_000, 10_000)]
+    assert len(merged) == len(set(pieces))
+    assert [model.encode([" ".join(x.title() for x in pieces[i : i + 10_000])])[0] for i in range(0, 60_000, 10_000)] == first
+    assert model.encode([" ".join(pieces[:10_000])])[0] == first[0] and len(merged) == len(set(pieces))
