@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,12 +73,43 @@ def bigram(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(history * U(0x9E3779B97F4A7C15) + (word ^ U(0xD1B54A32D192ED03)))
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    listed = words.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+    return np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
+
+
+@dataclass
+class Frequent:
+    """Counts of tokens, found by hash; a token that is found is compared, so equal hashes mislead nothing."""
+
+    tokens: pa.Array
+    counts: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: pa.Array, counts: np.ndarray, hashes: np.ndarray | None = None) -> Frequent:
+        hashes = hashes_of(tokens) if hashes is None else hashes
+        order = np.argsort(hashes)
+        return cls(tokens.take(pa.array(order)), counts[order], hashes[order])
+
+    def counts_of(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The count of each word, -1 where it isn't among the tokens."""
+        if not len(self.tokens):
+            return np.full(len(words), -1)
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            place = pc.index_in(words, value_set=self.tokens).fill_null(-1).to_numpy()
+            return np.append(self.counts, -1)[place]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = pc.equal(self.tokens.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, self.counts[at], -1)
+
+
 @dataclass
 class Tokens:
     """Tokens of a batch: codes into ``words``, each text followed by the end token; ``starts`` has texts + 1 places."""
 
     codes: np.ndarray
-    words: list[str]
+    words: pa.Array
     starts: np.ndarray
 
     @classmethod
@@ -90,13 +120,13 @@ class Tokens:
         full = pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(full)])[bounds]
         coded = values.filter(pa.array(full)).dictionary_encode()
-        words = coded.dictionary.to_pylist() + [END]
+        words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END], pa.string())])
         codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends[1:], len(words) - 1)
         return cls(codes, words, ends + np.arange(len(ends)))
 
     @functools.cached_property
     def hashes(self) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
+        return hashes_of(self.words)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unigram key, history's key and bigram key of each token; the history of a first word is the end token."""
@@ -109,7 +139,7 @@ class Tokens:
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # sums don't turn on the order of equal keys
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(counts[order], at)
@@ -124,23 +154,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """``token, n, c``: occurrences in all whole texts and in training texts (columns ``text``, ``train``), with the end token of each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()  # both counts in one number; what is held before it is passed on is under 2 ** 32
+        held: list[pa.Table] = []
 
-        def out():
-            counts = np.fromiter(held.values(), np.int64, len(held))
-            done = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(counts & 0xFFFFFFFF), pa.array(counts >> 32)], ["token", "n", "c"])
-            held.clear()
-            return done
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum"), ("c", "sum")]).select(["token", "n_sum", "c_sum"]).rename_columns(["token", "n", "c"])
 
         for whole in batches:
             for batch in batches_of(whole, BATCH):
                 t = Tokens.of(batch.column(0))
                 mine = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(t.starts))
-                counts = np.bincount(t.codes, minlength=len(t.words)) | np.bincount(t.codes[mine], minlength=len(t.words)) << 32
-                held.update(dict(zip(t.words, counts.tolist())))
-                if len(held) > MAX_OPEN:
-                    yield out()
-        yield out()
+                counts = [np.bincount(x, minlength=len(t.words)) for x in (t.codes, t.codes[mine])]
+                held.append(pa.table([t.words, *map(pa.array, counts)], ["token", "n", "c"]))
+                if sum(x.num_rows for x in held) > MAX_OPEN * 2:
+                    held[:] = [merged()]
+                    if held[0].num_rows > MAX_OPEN:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     return texts.mapInArrow(tidied(count), "token string, n long, c long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).filter("n > 0")
 
@@ -503,7 +533,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filte
         if room < 0:
             break
         least = r.least
-    frequent = spark.sparkContext.broadcast({r.token: r.c for r in vocab.filter(F.col("n") >= least).collect()})  # MAX_FREQUENT at most
+    often_seen = vocab.filter(F.col("n") >= least).select("token", "c").toArrow()  # MAX_FREQUENT at most
+    tokens = pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in often_seen["token"].chunks)])
+    frequent = spark.sparkContext.broadcast(Frequent.of(tokens, often_seen["c"].to_numpy()))
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), all_tokens // BUCKET_TOKENS), MAX_BUCKETS)
     filled = written(segments(ngram_runs(train.select("text"), buckets)))
     tidy(spark)
@@ -529,14 +561,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filte
                 if not len(t.codes):
                     continue
                 starts, n = t.starts[:-1], np.diff(t.starts)
-                c = np.array([known.get(w, -1) for w in t.words], np.int64)
+                c = known.counts_of(t.words, t.hashes)
                 often = (c >= 0)[t.codes]
                 base = np.add.reduceat(np.where(often, base_log10(np.maximum(c, 0), total, distinct)[t.codes], 0.0), starts)
                 seen = np.add.reduceat((c > 0)[t.codes].astype(np.int64), starts)
                 doc = np.repeat(np.arange(len(n)), n)[~often]
                 pair, tf = np.unique(doc * len(t.words) + t.codes[~often], return_counts=True)
                 bounds = np.searchsorted(pair // len(t.words), np.arange(len(n) + 1))
-                words = pa.array(t.words, pa.string()).take(pa.array(pair % len(t.words)))
+                words = t.words.take(pa.array(pair % len(t.words)))
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (words, pa.array(tf, pa.int64()))]
                 # the first row of a batch carries its tokens
                 held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -246,3 +247,23 @@ def test_segments_and_answers_go_once_tokens_have_levels(spark, monkeypatch):
     left = {c: [os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files] for columns, _, files in tables for c in columns}
     assert left["bits"] and not any(left["bits"]) and left["blob"] and not any(left["blob"])
     assert all(left["two"]) and all(left["token"])
+
+
+def test_counts_of_frequent_tokens_need_no_list_of_words_and_no_distinct_hashes():
+    t = bloom_lm.Tokens.of(pa.array(["b a  A b c", None, "\u00e9 \t b"]))
+    assert isinstance(t.words, pa.Array) and [t.words[i].as_py() for i in t.codes.tolist()] == ["b", "a", "a", "b", "c", "\n", "\n", "\u00e9", "b", "\n"]
+    tokens, counts, none = pa.array(["\u00e9", "b", "zz", "\n"]), np.array([7, 0, 5, 9]), np.zeros(len(t.words), np.uint64)
+    right = [{"\u00e9": 7, "b": 0, "\n": 9}.get(w, -1) for w in t.words.to_pylist()]
+    assert bloom_lm.Frequent.of(tokens, counts).counts_of(t.words, t.hashes).tolist() == right
+    assert bloom_lm.Frequent.of(tokens, counts, np.zeros(4, np.uint64)).counts_of(t.words, none).tolist() == right  # all hashes are equal
+    other = bloom_lm.Frequent.of(tokens.slice(1, 1), counts[1:2], none[:1]).counts_of(t.words, none)  # other words have the token's hash
+    assert other.tolist() == [0 if w == "b" else -1 for w in t.words.to_pylist()]
+    assert bloom_lm.Frequent.of(pa.array([], pa.string()), np.zeros(0, np.int64)).counts_of(t.words, t.hashes).tolist() == [-1] * len(t.words)
+
+
+def test_tokens_are_counted_once_more_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MAX_OPEN", 3)
+    docs = [(" ".join(f"w{(i * j) % 23}" for j in range(9)), i % 3 > 0) for i in range(40)]
+    got = {r.token: (r.n, r.c) for r in bloom_lm.token_counts(spark.createDataFrame(docs, "text string, train boolean")).collect()}
+    n, c = (Counter(w for text, train in docs if train or every for w in [*text.split(), "\n"]) for every in (True, False))
+    assert got == {w: (n[w], c[w]) for w in n}
