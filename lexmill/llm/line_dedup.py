@@ -67,7 +67,7 @@ def shingle_hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, CHARS):
         h *= np.uint32(0x9E3779B1)
         h += data[j : len(data) - CHARS + 1 + j]
-    sizes = np.array([len(p) for p in pieces])
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     full = np.maximum(sizes - CHARS + 1, 1)
     begins = np.concatenate([[0], np.cumsum(sizes + CHARS - 1)[:-1]])
     edge = np.zeros(len(h) + 1, np.int8)
@@ -83,29 +83,28 @@ def shingle_hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(texts: list[str]) -> np.ndarray:
     """The minima of each line (lines x BANDS * ROWS); a very long line is read in pieces."""
     out = np.full((len(texts), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
-    held, at, room = [], [], AT_ONCE
-
-    def done():
-        h, starts = shingle_hashes(held)
-        some = np.empty((len(held), BANDS * ROWS), np.uint32)
-        for i, turn in enumerate(TURNS):
-            some[:, i] = np.minimum.reduceat(h ^ turn, starts)
-        np.minimum.at(out, np.array(at), some)
-        held.clear(), at.clear()
-
-    for k, text in enumerate(texts):
-        for i in range(0, max(1, len(text) - CHARS + 1), AT_ONCE):
-            held.append(text[i : i + AT_ONCE + CHARS - 1])
-            at.append(k)
-            room -= len(held[-1])
-            if room <= 0:
-                done()
-                room = AT_ONCE
-    if held:
-        done()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    short = sizes <= AT_ONCE
+    cuts = np.flatnonzero(np.diff(np.cumsum(np.where(short, sizes, 0)) // AT_ONCE)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        at = np.flatnonzero(short[i:j]) + i
+        if len(at):
+            out[at] = minima(texts[i:j] if len(at) == j - i else [texts[k] for k in at.tolist()])
+    for k in np.flatnonzero(~short).tolist():
+        for i in range(0, len(texts[k]) - CHARS + 1, AT_ONCE):
+            np.minimum(out[k], minima([texts[k][i : i + AT_ONCE + CHARS - 1]])[0], out=out[k])
     return out
 
 
+def minima(pieces: list[str]) -> np.ndarray:
+    """The minima of each piece."""
+    h, starts = shingle_hashes(pieces)
+    out, turned = np.empty((BANDS * ROWS, len(pieces)), np.uint32), np.empty_like(h)
+    for i, turn in enumerate(TURNS):
+        np.minimum.reduceat(np.bitwise_xor(h, turn, out=turned), starts, out=out[i])
+    return out.T
+
+
 def packed(minima: np.ndarray) -> list[np.ndarray]:
     """Columns of KEYS (a key a band) and SKETCH (four bits a minimum)."""
     wide = minima.astype(U)
@@ -121,13 +120,18 @@ def packed(minima: np.ndarray) -> list[np.ndarray]:
 
 def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each line; lines are equal if both are."""
-    found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64).reshape(-1, 2)
+    try:
+        digests = b"".join(map(xxhash.xxh3_128_digest, texts))
+    except UnicodeEncodeError:
+        digests = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts)
+    found = np.frombuffer(digests, np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
 
 def visible(text: str | None) -> list[str]:
     """The lines of a text in the form that is compared; an empty one has no visible character. Null has none."""
-    return [x.strip(" \t\r").lower() for x in text.split("\n")] if text is not None else []
+    # the end of a line ends a word, so lower case of the whole is that of its lines
+    return [x.strip(" \t\r") for x in text.lower().split("\n")] if text is not None else []
 
 
 def first_pass(docs: DataFrame, row: str, text: str, carry: str | None) -> DataFrame:
@@ -146,9 +150,8 @@ def first_pass(docs: DataFrame, row: str, text: str, carry: str | None) -> DataF
                     found = visible(t)
                     if not found or not found[0]:
                         doc.append(d), line_no.append(0), code.append(-1)
-                    for i, x in enumerate(found):
-                        if x:
-                            doc.append(d), line_no.append(i), code.append(number.setdefault(x, len(number)))
+                    at = [i for i, x in enumerate(found) if x]
+                    doc.extend([d] * len(at)), line_no.extend(at), code.extend([number.setdefault(x, len(number)) for x in found if x])
                 texts = list(number)
                 one, two = keys_of(texts) if texts else (np.zeros(0, np.int64),) * 2
                 codes = np.array(code, np.int64)
@@ -246,9 +249,10 @@ def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     seen[data] = True
     data, letters = (np.cumsum(seen) - 1)[data], int(seen.sum())
     size = len(data) - CHARS + 1
-    codes, span = data[:size], letters
+    codes, span = data[:size].copy(), letters
     for j in range(1, CHARS):
-        codes = codes * letters + data[j : size + j]
+        codes *= letters
+        codes += data[j : size + j]
         span *= letters
         if span > 1 << CODE_BITS:
             known, codes = np.unique(codes, return_inverse=True)
@@ -403,7 +407,7 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     text is read three times, row numbers once.
     """
     passed = written(first_pass(docs, row, text, carry))
-    signed = passed.filter("line_no is null").groupBy(*LINE).agg(F.sum("copies").alias("copies"), *(F.max(c).alias(c) for c in COLUMNS))
+    signed = passed.filter("line_no is null").groupBy(*LINE, *COLUMNS).agg(F.sum("copies").alias("copies"))
     signed = written(signed.withColumn("node", F.monotonically_increasing_id()))
     tidy(docs.sparkSession)
     table = written(passed.filter("line_no is not null").select("row", "carried", "line_no", *LINE))
@@ -411,13 +415,12 @@ def judged(docs: DataFrame, row: str, text: str = "text", least: float = SIMILAR
     tidy(docs.sparkSession)
     held = held_lines(signed)
     tidy(docs.sparkSession)
-    near = held.select("node").distinct()
-    some = written(signed.join(near, "node", "left_semi").select("node", *LINE, *SKETCH, "size"))
+    some = written(signed.select("node", *LINE, *SKETCH, "size"))
     named = written(signed.select("node", *LINE, "copies"))
     discard(signed)
     names = some.select("node", *LINE)
     tidy(docs.sparkSession)
-    first = written(plausible(held.filter("node <> head").select(*pair(F.col("node"), F.col("head"))).distinct(), some))
+    first = written(plausible(held.filter("node <> head").select(*pair(F.col("node"), F.col("head"))), some).distinct())
     tidy(docs.sparkSession)
     texts = written(line_texts(docs, text, written(nodes(first).join(names, "node"))).dropDuplicates(["node"]))
     tidy(docs.sparkSession)

@@ -216,3 +216,20 @@ def test_a_block_reads_only_lines_with_a_close_sketch(monkeypatch):
         assert all(root[i] == root[j] for i, js in want.items() for j in js)
         assert len(found) == n - len(set(root))  # they span, no more
         assert not read & set(names[30:])
+
+
+def test_short_lines_are_signed_together(monkeypatch):
+    rng, calls, plain = random.Random(5), [], ld.minima
+    texts = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (7, 300, 20, 1, 90, 64, 68, 69, 40)]
+    alone = np.concatenate([ld.signatures([t]) for t in texts])
+    monkeypatch.setattr(ld, "AT_ONCE", 64)
+    monkeypatch.setattr(ld, "minima", lambda pieces: calls.append(len(pieces)) or plain(pieces))
+    assert (ld.signatures(texts) == alone).all() and ld.signatures([]).shape == (0, 32)
+    assert max(calls) > 1 and sum(calls) == 5 + sum(-(-(len(t) - 4) // 64) for t in texts if len(t) > 64)
+
+
+def test_lines_in_lower_case_are_those_of_the_lowered_text():
+    text = "\tΟΔΟΣ \r\nΣ\nΣΑ'Σ\n İ \n\n AΣ́\nB"
+    assert ld.visible(text) == [x.strip(" \t\r").lower() for x in text.split("\n")] and ld.visible(None) == []
+    ones, twos = ld.keys_of(["a", "\ud800é", "b"]), ld.keys_of(["a", "b"])
+    assert [c[0] for c in ones] == [c[0] for c in twos] and [c[2] for c in ones] == [c[1] for c in twos]
