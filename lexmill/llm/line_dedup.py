@@ -41,7 +41,8 @@ MAX_BROADCAST_IDS = 1_000_000
 AT_ONCE = 1 << 16  # characters hashed together, so that working arrays stay in a core's cache
 BATCH = 4 << 20  # bytes of text worked on together
 CODE_BITS = 40  # of a shingle's number
-SHINGLES_AT_ONCE, MARKS_AT_ONCE = 1 << 19, 1 << 17  # of pairs compared together
+SHINGLES_AT_ONCE, MARKS_AT_ONCE = 1 << 15, 1 << 17  # of pairs compared together
+MARKS, PAIRS_AT_ONCE = 1 << 11, 1 << 11  # bits by a line's shingles, pairs whose bits are compared together
 U = np.uint64
 _RNG = np.random.default_rng(20230711)
 #: Column b * ROWS + r lies in part r * BANDS + b of the range.
@@ -51,6 +52,7 @@ HEADS = [0x9E3779B97F4A7C15 * (b + 1) & (1 << 63) - 1 for b in range(BANDS)]
 KEYS, SKETCH = [f"k{b}" for b in range(BANDS)], ["s1", "s2"]
 COLUMNS = [*KEYS, *SKETCH, "size"]
 LINE = ["id", "probe"]
+LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,10 +130,20 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
+def lowered(text: str) -> str:
+    """``text.lower()``; for a text of Latin-1 by a table of bytes."""
+    if text.isascii():
+        return text.lower()
+    try:
+        return text.encode("latin-1").translate(LOWER).decode("latin-1")
+    except UnicodeEncodeError:
+        return text.lower()
+
+
 def visible(text: str | None) -> list[str]:
     """The lines of a text in the form that is compared; an empty one has no visible character. Null has none."""
     # the end of a line ends a word, so lower case of the whole is that of its lines
-    return [x.strip(" \t\r") for x in text.lower().split("\n")] if text is not None else []
+    return [x.strip(" \t\r") for x in lowered(text).split("\n")] if text is not None else []
 
 
 def first_pass(docs: DataFrame, row: str, text: str, carry: str | None) -> DataFrame:
@@ -238,32 +250,56 @@ def plausible(pairs: DataFrame, some: DataFrame) -> DataFrame:
     return both.filter(close("x", "y")).select("a", "b")
 
 
-def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct shingles of each line, one line after the other, as numbers of so many bits (CODE_BITS at most); and the lines' bounds.
+def numbered_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A number of so many bits (CODE_BITS at most) for each character's shingle, where each line's begin, and how many it has (with repeats).
 
     A line shorter than a shingle is one itself. Numbers are exact: equal ones stand for equal shingles.
     """
     gap = "\n" * (CHARS - 1)
-    data = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    seen = np.zeros(int(data.max()) + 1, bool)
-    seen[data] = True
-    data, letters = (np.cumsum(seen) - 1)[data], int(seen.sum())
-    size = len(data) - CHARS + 1
-    codes, span = data[:size].copy(), letters
-    for j in range(1, CHARS):
-        codes *= letters
-        codes += data[j : size + j]
-        span *= letters
-        if span > 1 << CODE_BITS:
-            known, codes = np.unique(codes, return_inverse=True)
-            span = len(known)
-    bits = span.bit_length()
-    chars = np.array([len(t) for t in texts])
-    full = np.maximum(chars - CHARS + 1, 1)
-    begins = np.cumsum(chars + CHARS - 1) - (chars + CHARS - 1)
-    marked = np.sort(np.repeat(np.arange(len(texts)), full) << bits | codes[stretches(begins, full)])
-    marked = marked[np.concatenate([[True], marked[1:] != marked[:-1]])]
-    return marked & (1 << bits) - 1, np.searchsorted(marked, np.arange(len(texts) + 1) << bits), bits
+    joined = gap.join(texts) + gap
+    try:  # a byte a character
+        data = joined.encode("latin-1") + bytes(16)
+        codes = np.empty(len(joined) + 8, np.int64)
+        for i in range(8):
+            part = np.frombuffer(data, "<i8", (len(data) - i) // 8, i)
+            codes[i::8] = part[: len(codes[i::8])]
+        codes &= (1 << 8 * CHARS) - 1
+        bits = 8 * CHARS
+    except UnicodeEncodeError:
+        data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(int(data.max()) + 1, bool)
+        seen[data] = True
+        data, letters = (np.cumsum(seen) - 1)[data], int(seen.sum())
+        size = len(data) - CHARS + 1
+        codes, span = data[:size].copy(), letters
+        for j in range(1, CHARS):
+            codes *= letters
+            codes += data[j : size + j]
+            span *= letters
+            if span > 1 << CODE_BITS:
+                known, codes = np.unique(codes, return_inverse=True)
+                span = len(known)
+        bits = span.bit_length()
+    chars = np.fromiter(map(len, texts), np.int64, len(texts))
+    return codes, np.cumsum(chars + CHARS - 1) - (chars + CHARS - 1), np.maximum(chars - CHARS + 1, 1), bits
+
+
+def shingle_marks(codes: np.ndarray, begins: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """MARKS bits a line, of which its shingles set one each by their number."""
+    out = np.zeros((len(full), MARKS), bool)
+    wide = np.diff(begins, append=begins[-1] + full[-1])
+    place = codes[: begins[-1] + full[-1]].view(U) * U(0x9E3779B97F4A7C15)
+    place >>= U(64 - MARKS.bit_length() + 1)
+    place[stretches(begins + full, wide - full)] = np.repeat(place[begins], wide - full)  # what reads a line's end
+    out.reshape(-1)[np.repeat(np.arange(len(full)) * MARKS, wide) + place.view(np.int64)] = True
+    return np.packbits(out, axis=1).view(U)
+
+
+def may_be_alike(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs of marks of lines with at most a and b shingles allow a similarity of ``least``: a bit that only one has is a shingle that only one has."""
+    left, right = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((one, two), (two, one)))
+    most = np.minimum(a - left, b - right)
+    return most >= least * (most + left + right) - 1e-6
 
 
 def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -277,17 +313,22 @@ def alike(texts: list[str], one: np.ndarray, two: np.ndarray, least: float) -> n
     out = np.zeros(len(one), bool)
     if not len(one):
         return out
-    codes, bounds, bits = distinct_shingles(texts)
-    sizes = np.diff(bounds)
-    a, b = sizes[one], sizes[two]
-    open_ = np.flatnonzero(np.minimum(a, b) >= least * np.maximum(a, b))
-    part = np.cumsum((a + b)[open_]) // SHINGLES_AT_ONCE
+    codes, begins, full, bits = numbered_shingles(texts)
+    open_ = [np.zeros(0, np.int64)]
+    marks = shingle_marks(codes, begins, full)
+    for at in range(0, len(one), PAIRS_AT_ONCE):
+        x, y = one[at : at + PAIRS_AT_ONCE], two[at : at + PAIRS_AT_ONCE]
+        open_.append(np.flatnonzero(may_be_alike(marks[x], marks[y], full[x], full[y], least)) + at)
+    open_ = np.concatenate(open_)
+    part = np.cumsum((full[one] + full[two])[open_]) // SHINGLES_AT_ONCE
     for some in np.split(open_, np.flatnonzero(np.diff(part)) + 1):
-        turn = np.arange(len(some))
-        sides = [np.repeat(turn, sizes[x]) << bits | codes[stretches(bounds[x], sizes[x])] for x in (one[some], two[some])]
-        both = np.sort(np.concatenate(sides))  # a side has each shingle once
-        shared = np.bincount(both[1:][both[1:] == both[:-1]] >> bits, minlength=len(some))
-        out[some] = shared >= least * (a[some] + b[some] - shared)
+        # a pair's shingles in order, those of its second line odd
+        sides = [np.repeat(np.arange(len(some)) << bits + 1 | odd, full[x]) | codes[stretches(begins[x], full[x])] << 1 for odd, x in enumerate((one[some], two[some]))]
+        both = np.sort(np.concatenate(sides))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        pair_of = both >> bits + 1
+        shared = np.bincount(pair_of[1:][both[1:] ^ 1 == both[:-1]], minlength=len(some))
+        out[some] = shared >= least * (np.bincount(pair_of, minlength=len(some)) - shared)
     return out
 
 
@@ -356,17 +397,18 @@ def links_in(group: pa.Table, least: float) -> pa.Table:
     one, two = near[one], all_[two]
     differ = part[one] != part[two]
     one, two = one[differ], two[differ]
-    root: dict[int, int] = {}
+    known, part = np.unique(part, return_inverse=True)
+    root = np.arange(len(known))  # of each component the least that it is linked to
 
     def find(c: int) -> int:
-        while (up := root.get(c, c)) != c:
-            root[c] = c = root.get(up, up)
+        while (up := root[c]) != c:
+            root[c] = c = root[up]
         return c
 
     found, most = [], 1
     while len(one):
         # of a line and a component one pair, then four times as many: what is linked then needs no other
-        other = np.array([find(c) for c in part[two].tolist()])
+        other = root[part[two]]
         order = np.lexsort((other, one))
         first = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])])
         starts = np.flatnonzero(first)
@@ -379,9 +421,10 @@ def links_in(group: pa.Table, least: float) -> pa.Table:
             if a != b:
                 root[max(a, b)] = min(a, b)
                 found.append((node[x], node[y]))
-        left = np.ones(len(one), bool)
+        while (root != root[root]).any():
+            root = root[root]
+        left = root[part[one]] != root[part[two]]
         left[now] = False
-        left &= np.array([find(x) != find(y) for x, y in zip(part[one].tolist(), part[two].tolist())], bool)
         one, two = one[left], two[left]
     return pa.table({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
 

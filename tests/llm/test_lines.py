@@ -233,3 +233,21 @@ def test_lines_in_lower_case_are_those_of_the_lowered_text():
     assert ld.visible(text) == [x.strip(" \t\r").lower() for x in text.split("\n")] and ld.visible(None) == []
     ones, twos = ld.keys_of(["a", "\ud800é", "b"]), ld.keys_of(["a", "b"])
     assert [c[0] for c in ones] == [c[0] for c in twos] and [c[2] for c in ones] == [c[1] for c in twos]
+
+
+def test_unlike_pairs_are_told_without_their_shingles(monkeypatch):
+    rng, read, plain = random.Random(14), [], ld.stretches
+    for letters in ("abcdefghij é", "abcdefghij\u3042"):
+        names = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 5, 9, 150, 300]))) for _ in range(300)]
+        texts = names + [x[:-2] + "yz" if i % 2 else "".join(rng.choice("xyz") if rng.random() < 0.1 else c for c in x) for i, x in enumerate(names)]
+        one, two = np.concatenate([np.arange(300), np.arange(300)]), np.concatenate([np.arange(300, 600), rng.sample(range(600), 300)])
+        want = [len(grams(texts[i]) & grams(texts[j])) >= 0.8 * len(grams(texts[i]) | grams(texts[j])) for i, j in zip(one, two)]
+        read.clear()
+        monkeypatch.setattr(ld, "stretches", lambda starts, sizes: read.append(int(sizes.sum())) or plain(starts, sizes))
+        for most in (1 << 11, 7):
+            monkeypatch.setattr(ld, "PAIRS_AT_ONCE", most, raising=False)
+            assert ld.alike(texts, one, two, 0.8).tolist() == want
+        # ends of lines, and shingles of little more than the pairs that are alike
+        assert sum(read) < 2 * (sum(len(texts[i]) + len(texts[j]) for i, j, w in zip(one, two, want) if w) * 1.3 + 10 * len(texts))
+    assert not ld.alike(["x" * 70_000 + "a", "y" * 70_000], np.array([0]), np.array([1]), 0.8)[0]
+    assert ld.lowered("ÀÉ×ÞßµÿÖ A") == "àé×þßµÿö a" and ld.lowered("".join(map(chr, range(256)))) == "".join(map(chr, range(256))).lower()
